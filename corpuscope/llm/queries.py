@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, packing, quality_crf, secrets, simhash, token_counts, toxicity
+from . import decontam, html_extract, packing, phrase_automata, quality_crf, secrets, simhash, suffix_bwt, token_counts, toxicity
 from .common import tables
 
 
@@ -35,6 +35,11 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_automata.remove(tables(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
 
@@ -46,6 +51,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_bwt.remove(tables(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.count_tokens(tables(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -58,8 +68,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dedup, op3_best_fit_packing, op4_secret_scans, op6_benchmark_decontamination, op7_toxicity, op9_token_counts, op10_quality_rules)}
+    found = (
+        op1_html_extraction,
+        op2_simhash_near_dedup,
+        op3_best_fit_packing,
+        op4_secret_scans,
+        op5_substring_dedup,
+        op6_benchmark_decontamination,
+        op7_toxicity,
+        op8_suffix_array_dedup,
+        op9_token_counts,
+        op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: each of these results needs more than SQL over whole tables can give.
+
+    A tokenizer, a fitted model, a packing, a graph closure or a search over all
+    positions stands in each; the tests hold the queries against brute force.
+    """
     return {}

@@ -219,8 +219,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return judged(own, limits)
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of its texts, overlapping ones as one, turned into ``MASK``; rows and columns stay."""
+def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """``docs`` with each span of its texts, overlapping ones as one, turned into ``MASK``; rows and columns stay.
+
+    ``count_col``, if ``docs`` has it, gets the length of a text that changed.
+    """
     base, runs, spans, source = (common.free_name(docs, c) for c in ("base_spans", "runs", "spans", "scan_source"))
     seen = scanned(docs.withColumn(source, F.col(text_col).cast("string")), source, base, runs)
     limits = thresholds(seen.select(F.explode(runs).alias("r")).select("r.class", "r.bucket"))
@@ -233,4 +236,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     gaps = F.aggregate(F.col(spans), F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), F.length(source).alias("b")))).cast(kind))
     text = F.array_join(F.transform(gaps, lambda g: F.substring(F.col(source), g["a"] + 1, g["b"] - g["a"])), MASK)
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, text).otherwise(F.col(text_col))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    new = found.withColumn(text_col, F.when(F.size(spans) > 0, text).otherwise(F.col(text_col)))
+    if count_col in docs.columns:
+        new = new.withColumn(count_col, F.when(F.size(spans) > 0, F.length(text_col).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col)))
+    return new.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -244,9 +244,10 @@ def base_failed(counts: tuple[int, ...]) -> bool:
 
 def keep_good(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns, whatever their names."""
+    at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [str(t or "") for t in batch.column(docs.columns.index(text_col)).to_pylist()]
+        texts = [str(t or "") for t in batch.column(at).to_pylist()]
         kept = [not base_failed(rules(t)) and content_share(field, t) >= CONTENT_SHARE for t in texts]
         return batch.filter(pc.fill_null(pa.array(kept, pa.bool_()), False))
 

@@ -199,7 +199,7 @@ def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, points AS (SELECT doc_id, CAST(k AS BIGINT) AS point, CAST(strlen(text) * k // 4 AS BIGINT) AS "offset" FROM documents, (VALUES (0), (1), (2), (3)) v(k))
-SELECT p.doc_id, p.point, p."offset", max(l.line) AS line, any_value(p."offset") - max(l.start) AS "column" FROM points p JOIN lines l ON l.doc_id = p.doc_id AND l.start <= p."offset" GROUP BY p.doc_id, p.point, p."offset"""")
+SELECT p.doc_id, p.point, p."offset", max(l.line) AS line, any_value(p."offset") - max(l.start) AS "column" FROM points p JOIN lines l ON l.doc_id = p.doc_id AND l.start <= p."offset" GROUP BY p.doc_id, p.point, p."offset" """)
 def offset_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.table(spark, sf_dir, "documents")
     points = docs.select("doc_id", F.explode(F.array(*map(F.lit, range(4)))).alias("k"), F.octet_length("text").cast("bigint").alias("n")).select("doc_id", F.col("k").cast("bigint").alias("point"), F.expr("n * k DIV 4").alias("offset"))

@@ -101,12 +101,13 @@ def namespace_regex(pattern: str, separator: str = "\\", prefix: bool = False) -
     sep = re.escape(separator)
     options = []
     for one in braces(pattern.strip(separator)):
-        out = ""
-        for i, part in enumerate(one.split(separator)):
+        parts, out = one.split(separator), ""
+        for i, part in enumerate(parts):
             if part == "**":
-                out += f"(?:{sep}[^{sep}]+)*" if i else f"(?:[^{sep}]+(?:{sep}[^{sep}]+)*)?"
+                out += f"(?:{sep}[^{sep}]+)*" if i else f"(?:[^{sep}]+{sep})*" if len(parts) > 1 else ".*"
             else:
-                out += (sep if i else "") + "".join(f"[^{sep}]*" if x == "*" else re.escape(x) for x in re.split(r"(\*)", part) if x)
+                lead = sep if i and not (i == 1 and parts[0] == "**") else ""
+                out += lead + "".join(f"[^{sep}]*" if x == "*" else re.escape(x) for x in re.split(r"(\*)", part) if x)
         options.append(out)
     body = "|".join(options)
     return f"(?i)^(?:{body})" + (f"(?:{sep}.*)?$" if prefix else "$")

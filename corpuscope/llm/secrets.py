@@ -69,13 +69,16 @@ def places(text: Column, pattern: str, found: Column) -> Column:
         start = acc["at"] + x["gap"]
         return F.struct((start + x["own"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["own"]).alias("stop")))).cast(kind).alias("out"))
 
-    def outer(acc: Column, k: Column) -> Column:
+    def outer(both: Column, acc: Column, k: Column) -> Column:
         part = F.aggregate(F.slice(both, k * CHUNK + 1, F.least(F.lit(CHUNK), F.size(found) - k * CHUNK)), F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), inner)
         return F.struct(part["at"].alias("at"), F.concat(acc["out"], F.array(part["out"])).cast(f"array<{kind}>").alias("out"))
 
     chunks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))
-    whole = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), outer, lambda acc: F.flatten(acc["out"]))
-    return F.when(F.size(found) > 0, whole).otherwise(F.array().cast(kind))
+
+    def whole(both: Column) -> Column:
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), lambda acc, k: outer(both, acc, k), lambda acc: F.flatten(acc["out"]))
+
+    return F.when(F.size(found) > 0, F.transform(F.array(both), whole)[0]).otherwise(F.array().cast(kind))  # the array binds both, which is then made once
 
 
 def erfc_tail(z: Column) -> Column:

@@ -11,8 +11,11 @@ place, in the same text or another one.
    key, cut out of their text as stretches of successive windows, meet in a
    shard by that key; equal stretches are one with a weight.
 3. An operator's own method finds, within each shard, which windows recur.
-4. A key whose stretches exceed ``CROWDED`` bytes is not put into one shard:
-   its windows are counted one by one by a 128-bit digest, pre-aggregated.
+4. A key whose stretches exceed ``CROWDED`` bytes, as a short passage that many
+   texts hold gives, is parted before it comes to shards: by how far into the
+   window the run with the least hash stands, in blocks, and by what all
+   windows of such a block have in common.  Blocks get smaller until none is
+   crowded; at the last, a block is one window.
 5. The places come back to their texts, and each row is cut.
 
 Nothing here follows a key, text or group to the driver or into one task
@@ -74,6 +77,13 @@ class Text:
         else:
             self.n = len(self.codes)
 
+    @classmethod
+    def of_bytes(cls, part: bytes, unit: Unit) -> "Text":
+        """A piece of a text that need not be UTF-8 by itself."""
+        out = cls("", unit)
+        out.bytes, out.codes, out.n = part, np.frombuffer(part, np.uint8), len(part)
+        return out
+
     def values(self, a: int, b: int) -> np.ndarray:
         """A number for each of the units ``a`` to ``b``, the same for equal ones."""
         if not self.unit.words:
@@ -166,12 +176,29 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def window_parts(stretch: bytes, unit: Unit) -> list[bytes]:
-    """The windows of a stretch."""
-    if not unit.words:
-        return [stretch[i : i + unit.length] for i in range(len(stretch) - unit.length + 1)]
-    words = stretch.split(b" ")
-    return [b" ".join(words[i : i + unit.length]) for i in range(len(words) - unit.length + 1)]
+def blocks_of(unit: Unit) -> tuple[int, ...]:
+    """Sizes of the blocks by which crowded keys are parted, the largest first."""
+    return tuple(dict.fromkeys((max(1, unit.length // 6), max(1, unit.length // 40), 1)))
+
+
+def parted(part: bytes, h: int, block: int, unit: Unit) -> Iterator[tuple[bytes, int, int]]:
+    """The windows of a stretch with key ``h`` by blocks: a key, the first window and the number of windows of each.
+
+    A window's place in its block is how far before the first run with the
+    least hash it starts.  The key is of what all windows of that block hold,
+    so equal windows have equal keys.
+    """
+    text = Text(part.decode(), unit) if unit.words else Text.of_bytes(part, unit)
+    g = gram_hashes(text.values(0, text.n), unit.gram)
+    at = np.flatnonzero(g == np.uint64(h))
+    count = text.n - unit.length + 1
+    first = at[np.searchsorted(at, np.arange(count))]
+    number = (first - np.arange(count)) // block
+    edges = [0, *(np.flatnonzero((np.diff(first) != 0) | (np.diff(number) != 0)) + 1).tolist(), count]
+    for a, b in zip(edges, edges[1:]):
+        p, k = int(first[a]), int(number[a])
+        core = text.part(p - k * block, p - k * block - block + 1 + unit.length)
+        yield digest(f"{h} {k} {block} ".encode() + core), a, b - a
 
 
 def text_key(text: str = "text"):
@@ -210,37 +237,59 @@ def recurring(rows: DataFrame, unit: Unit, find: Finder) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), signed(np.array(hashes, np.uint64)), pa.array(starts, pa.int64()), pa.array(ids, pa.binary()), pa.array(parts, pa.binary())], ["key", "h", "start", "sid", "part"])
 
     found = common.stored(common.map_batches(texts.join(wanted, "key").select("key", "text", "hs"), cut, "key binary, h bigint, start bigint, sid binary, part binary"), "stretches")
-    distinct = common.stored(found.groupBy("h", "sid", "part").agg(F.count("*").alias("weight")), "distinct")
-    total = distinct.agg(F.sum(F.length("part"))).first()[0] or 0
-    shards = 1 + total // SHARD
-    sizes = distinct.groupBy("h").agg(F.sum(F.length("part")).alias("size"))
-    crowded = common.stored(sizes.where(F.col("size") > CROWDED).select("h"), "crowded")
-    calm = distinct.join(crowded, "h", "left_anti").select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "sid", "part", F.least("weight", F.lit(2)).cast("int").alias("weight"))
+    distinct = found.groupBy("h", "sid", "part").agg(F.count("*").alias("weight")).select("h", F.col("h").cast("string").cast("binary").alias("g"), "sid", "part", "weight")
+    calm, crowded = settle(common.stored(distinct, "distinct"))
+    groups, places_of = [calm], []
+    for block in blocks_of(unit):
+        if crowded is None:
+            break
+        cut_up = common.stored(smaller(crowded, block, unit), "blocks")
+        places_of.append(cut_up.select("sid", F.col("from").alias("above"), "at"))
+        calm, crowded = settle(common.stored(cut_up.groupBy("h", "g", "sid", "part").agg(F.sum("weight").alias("weight")), "distinct"))
+        groups.append(calm)
+    every = groups[0]
+    for more in groups[1:]:
+        every = every.unionByName(more)
+    shards = 1 + (every.agg(F.sum(F.length("part"))).first()[0] or 0) // SHARD
 
     def solve(group: pa.Table) -> pa.Table:
         ids, parts, weights = (group.column(c).to_pylist() for c in ("sid", "part", "weight"))
         hits = [(i, r) for i, r in zip(ids, find(parts, weights), strict=True) if r]
         return pa.table([pa.array([i for i, _ in hits], pa.binary()), pa.array([[x for ab in r for x in ab] for _, r in hits], pa.list_(pa.int32()))], names=["sid", "runs"])
 
-    solved = calm.groupBy("shard").applyInArrow(solve, "sid binary, runs array<int>")
-
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, at, hashes, weights = [], [], [], []
-        for i, part, w in zip(*(batch.column(c).to_pylist() for c in ("sid", "part", "weight")), strict=True):
-            own = [digest(x) for x in window_parts(part, unit)]
-            ids += [i] * len(own)
-            at += range(len(own))
-            hashes += own
-            weights += [w] * len(own)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(at, pa.int32()), pa.array(hashes, pa.binary()), pa.array(weights, pa.int64())], ["sid", "at", "w", "weight"])
-
-    each = common.map_batches(distinct.join(crowded, "h", "left_semi").select("sid", "part", "weight"), windows, "sid binary, at int, w binary, weight bigint")
-    again = each.groupBy("w").agg(F.sum("weight").alias("n")).where("n > 1").select("w")
-    counted = each.select("sid", "at", "w").join(again, "w").groupBy("sid").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("runs"))
-    marks = common.stored(solved.unionAll(counted), "marks")
+    sharded = every.select(F.pmod(F.xxhash64("g"), F.lit(shards)).alias("shard"), "sid", "part", F.least("weight", F.lit(2)).cast("int").alias("weight"))
+    marks = common.stored(sharded.groupBy("shard").applyInArrow(solve, "sid binary, runs array<int>"), "marks")
+    for level in range(len(places_of) - 1, -1, -1):  # what blocks have found belongs to what they were cut from
+        up = places_of[level].join(marks, "sid").select(F.col("above").alias("sid"), F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
+        marks = marks.unionAll(up)
     return found.select("sid", "key", "start").join(marks, "sid").groupBy("key").agg(F.flatten(F.collect_list(F.transform("runs", lambda x: x + F.col("start")))).alias("found"))
 
 
+def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups (``g``) of at most ``CROWDED`` bytes, and the others; none, if there are none."""
+    sizes = rows.groupBy("g").agg(F.sum(F.length("part")).alias("size"), F.count("*").alias("n"))
+    crowded = common.stored(sizes.where((F.col("size") > CROWDED) & (F.col("n") > 1)).select("g"), "crowded")
+    if not crowded.limit(1).count():
+        return rows.select("g", "sid", "part", "weight"), None
+    return rows.join(crowded, "g", "left_anti").select("g", "sid", "part", "weight"), rows.join(crowded, "g", "left_semi")
+
+
+def smaller(rows: DataFrame, block: int, unit: Unit) -> DataFrame:
+    """Crowded stretches cut into blocks: new ``g``, ``sid`` and ``part``, and where (``from``, ``at``) each was."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for h, sid, part, w in zip(*(batch.column(c).to_pylist() for c in ("h", "sid", "part", "weight")), strict=True):
+            cut = Text(part.decode(), unit) if unit.words else Text.of_bytes(part, unit)
+            for g, a, n in parted(part, h % (1 << 64), block, unit):
+                own = cut.part(a, a + n + unit.length - 1)
+                out.append((h, g, digest(g + own), own, w, sid, a))
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["h", "g", "sid", "part", "weight", "from", "at"])
+
+    return common.map_batches(rows.select("h", "sid", "part", "weight"), run, "h bigint, g binary, sid binary, part binary, weight bigint, `from` binary, at int")
+
+
 def merged(found: list[int], length: int, n: int, whole: bool) -> list[tuple[int, int]]:
     """Units to remove, as maximal runs in order."""
     if n < length:

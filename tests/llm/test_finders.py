@@ -47,6 +47,24 @@ def test_window_keys_follow_content():
         assert all(len(k) == 1 for k in seen.values())
 
 
+@pytest.mark.parametrize("unit", [repeats.Unit(False, 20, 5), repeats.Unit(True, 6, 2)])
+def test_blocks_hold_each_window_once_and_follow_content(unit):
+    r = random.Random(7)
+    seen: dict[tuple[int, bytes], set[bytes]] = {}
+    for _ in range(60):
+        text = repeats.Text(" ".join(r.choices(["a", "bb", "ccc", "d"], k=60)), unit)
+        wanted = np.unique(np.concatenate([k for _, k, _ in repeats.keys_of(text)]))
+        for h, a, n in repeats.stretches(text, wanted):
+            part = text.part(a, a + n + unit.length - 1)
+            for block in repeats.blocks_of(unit):
+                cut = list(repeats.parted(part, h, block, unit))
+                assert [x for _, b, m in cut for x in range(b, b + m)] == list(range(n)) and all(m <= block for *_, m in cut)
+                for g, b, m in cut:
+                    for x in range(b, b + m):
+                        seen.setdefault((block, text.part(a + x, a + x + unit.length)), set()).add(g)
+    assert all(len(g) == 1 for g in seen.values()) and len(seen) > 1000
+
+
 def test_gram_hashes_and_sliding():
     v = np.random.default_rng(0).integers(1, 5, 200).astype(np.uint64)
     for k in (1, 2, 3, 7, 48):

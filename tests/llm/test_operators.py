@@ -53,7 +53,7 @@ def covered(units, length):
     return out
 
 
-@pytest.mark.parametrize("crowded", [repeats.CROWDED, 200])
+@pytest.mark.parametrize("crowded", [repeats.CROWDED, 2000, 200])
 def test_op5_and_op8_against_brute_force(spark, sf_dir, texts, monkeypatch, crowded):
     monkeypatch.setattr(repeats, "CROWDED", crowded)
     monkeypatch.setattr(repeats, "SHARD", 1 << 16)

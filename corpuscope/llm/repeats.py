@@ -43,7 +43,7 @@ from . import common
 #: Windows whose hashes are held at once.
 BLOCK = 1 << 18
 #: Bytes of stretches in a shard, on average.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Bytes of stretches of one key from which its windows are counted by digest.
 CROWDED = 1 << 18
 

@@ -228,7 +228,7 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = None
     ``count_col``, if ``docs`` has it, gets the length of a text that changed.
     """
     base, runs, spans, source = (common.free_name(docs, c) for c in ("base_spans", "runs", "spans", "scan_source"))
-    seen = scanned(docs.withColumn(source, F.col(text_col).cast("string")), source, base, runs)
+    seen = common.stored(scanned(docs.withColumn(source, F.col(text_col).cast("string")), source, base, runs).drop(source), "scanned").withColumn(source, F.col(text_col).cast("string"))
     limits = thresholds(seen.select(F.explode(runs).alias("r")).select("r.class", "r.bucket"))
     found = judged(seen, limits, base, runs, spans)
     kind = "array<struct<a:int,b:int>>"

@@ -35,7 +35,7 @@ from .token_counts import by_bytes
 GROUP = 16_384
 #: Sweeps of the local search over the bins of a group.
 SWEEPS = 40
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: A comma or a full stop after a letter is a pre-token of its own.
 STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 

@@ -1,12 +1,14 @@
 """Secret scans by patterns and a battery of randomness tests, all in Spark's own functions.
 
 Three fixed patterns give the base spans.  The method adds spans of kind
-``random``: runs of at least ``SHORTEST`` encoding characters with a digit whose
-encoding can be inferred (hexadecimal, base 32, base 64).  Each run is tested
-against the hypothesis that its characters were drawn evenly from the alphabet:
-chi-squared for their counts, a runs test about the alphabet's middle and a
-lag-one serial correlation, combined by Fisher's method.  Ordinary words fail
-these tests.  Which runs count as failed is settled over all texts by the
+``random``: runs of at least ``SHORTEST`` encoding characters whose encoding can
+be inferred (hexadecimal, base 32 and 36 in either case, letters of both cases,
+base 64).  Each run is tested against the hypothesis that its characters were
+drawn evenly from the alphabet: chi-squared for their counts, a runs test about
+the alphabet's middle, a lag-one serial correlation, and, for words and names
+put together from words, the share of letters and of pairs of letters that are
+common in words and the neighbours of one class (upper case, lower case, other),
+combined by Fisher's method.  Ordinary words fail these tests.  Which runs count as failed is settled over all texts by the
 Benjamini-Hochberg rule within each class of length, so that random strings of
 any length are lost at the same small rate; what is left, and carries
 ``LEAST_BITS`` at least, is a secret.
@@ -49,8 +51,19 @@ SPAN = "struct<start:int,kind_no:int,kind:string,stop:int>"
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+#: Where a new class of characters starts in each alphabet.
+CLASSES = {"hex": (10,), "base32": (26,), "base36": (26,), "letters": (26,), "base64": (26, 52)}
+#: Ten letters that make up about two thirds of words.
+COMMON = "etaoinsrhl"
+#: Pairs of letters that make up most of words.
+PAIRS = (
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll "
+    "be ma si om ur el la ta ns di fo us et ca ec ss ge pe ct tr il no un ut na ot ac po ow ai so rt em id im ue"
+).split()
 #: Matches whose places are summed together.
 CHUNK = 256
 
@@ -97,27 +110,49 @@ def both_tails(z: Column) -> Column:
 
 
 def encoding(run: Column) -> Column:
-    """The narrowest alphabet that a run with a digit fits; null: none."""
-    digit = run.rlike("[0-9]")
+    """The narrowest alphabet that a run fits; null: none.  Letters alone count: words are left to the tests."""
     low, up = run.rlike("[a-z]"), run.rlike("[A-Z]")
     return (
-        F.when(digit & (low != up) & F.lower(run).rlike("^[0-9a-f]+$"), F.lit("hex"))
-        .when(digit & up & ~low & run.rlike("^[A-Z2-7]+=*$"), F.lit("base32"))
-        .when(digit & up & low, F.lit("base64"))
+        F.when(run.rlike("[0-9]") & (low != up) & F.lower(run).rlike("^[0-9a-f]+$"), F.lit("hex"))
+        .when((low != up) & F.upper(run).rlike("^[A-Z2-7]+=*$"), F.lit("base32"))
+        .when((low != up) & F.upper(run).rlike("^[A-Z0-9]+$"), F.lit("base36"))
+        .when(up & low & run.rlike("^[A-Za-z]+=*$"), F.lit("letters"))
+        .when(up & low, F.lit("base64"))
+    )
+
+
+def expected(code: str) -> Column:
+    """An alphabet, its shares of common letters and pairs, the chances that two and three characters are of one class, and where classes start."""
+    alphabet = ALPHABETS[code]
+    k = len(alphabet)
+    ends = [0, *CLASSES[code], k]
+    shares = [(b - a) / k for a, b in zip(ends, ends[1:], strict=False)]
+    return F.struct(
+        F.lit(alphabet).alias("alphabet"),
+        F.lit(sum(c.lower() in COMMON for c in alphabet) / k).alias("common"),
+        F.lit(sum(alphabet.lower().count(a) * alphabet.lower().count(b) for a, b in PAIRS) / k**2).alias("pairs"),
+        F.lit(sum(p**2 for p in shares)).alias("two"),
+        F.lit(sum(p**3 for p in shares)).alias("three"),
+        F.lit(ends[1]).alias("first"),
+        F.lit(ends[2]).alias("second"),
     )
 
 
 def test_value(run: Column, code: Column) -> Column:
     """-ln of the combined p-value of one run, drawn evenly from its alphabet under the hypothesis."""
-    own = F.when(code == "hex", F.lower(run)).when(code == "base64", F.translate(F.rtrim(F.translate(run, "=", " ")), "-_ ", "+/A")).otherwise(F.translate(run, "=", ""))
-    alphabet = F.when(code == "hex", F.lit(ALPHABETS["hex"])).when(code == "base32", F.lit(ALPHABETS["base32"])).otherwise(F.lit(ALPHABETS["base64"]))
+    bare = F.translate(run, "=", "")
+    own = F.when(code == "hex", F.lower(run)).when(code == "base64", F.translate(F.rtrim(F.translate(run, "=", " ")), "-_ ", "+/A")).when(code == "letters", bare).otherwise(F.upper(bare))
+    law = expected("base64")
+    for c in ("hex", "base32", "base36", "letters"):
+        law = F.when(code == c, expected(c)).otherwise(law)
 
     def from_chars(own: Column, alphabet: Column) -> Column:
         chars = F.filter(F.split(own, ""), lambda c: c != "")
         return F.transform(chars, lambda c: F.call_function("locate", c, alphabet).cast("double") - 1)
 
     def stats(s: Column) -> Column:
-        x, k, own = s["x"], s["k"].cast("double"), s["own"]
+        x, own, law = s["x"], s["own"], s["law"]
+        k = F.length(law["alphabet"]).cast("double")
         n = F.size(x).cast("double")
         squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0)))
         chi = squares * k / n - n
@@ -136,12 +171,29 @@ def test_value(run: Column, code: Column) -> Column:
         near = F.arrays_zip(F.slice(x, F.lit(1), F.size(x) - 1).alias("a"), F.slice(x, F.lit(2), F.size(x) - 1).alias("b"))
         serial = F.aggregate(near, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
         p_serial = F.when(spread > 0, both_tails((serial / F.when(spread > 0, spread) + 1 / n) * F.sqrt(n))).otherwise(F.lit(1e-9))
+        common = n - F.length(F.translate(F.lower(own), COMMON, ""))
+        z_common = (common - 0.5 - n * law["common"]) / F.sqrt(n * law["common"] * (1 - law["common"]))
+        sort = F.transform(x, lambda v: F.when(v < law["first"], 0).when(v < law["second"], 1).otherwise(2))
+        beside = F.arrays_zip(F.slice(sort, F.lit(1), F.size(x) - 1).alias("a"), F.slice(sort, F.lit(2), F.size(x) - 1).alias("b"))
+        same = F.size(F.filter(beside, lambda p: p["a"] == p["b"]))
+        two, three = law["two"], law["three"]
+        z_same = (same - 0.5 - (n - 1) * two) / F.sqrt((n - 1) * (two - two * two) + 2 * (n - 2) * (three - two * two))
+        low = F.lower(own)
+        met = F.size(F.filter(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.substring(low, i, F.lit(2)).isin(*PAIRS))) / (n - 1)
+        chance = law["pairs"]
+        beyond = met * F.log(F.greatest(met, chance) / chance) + F.when(met < 1, (1 - met) * F.log(F.when(met < 1, 1 - met) / (1 - chance))).otherwise(0.0)
+        half = F.when(met > chance, (n - 1) * beyond).otherwise(0.0)  # Chernoff's bound on the chance of so many
         floor = F.lit(1e-300)
-        half = -(F.log(F.greatest(upper_tail(z_chi), floor)) + F.log(F.greatest(p_runs, floor)) + F.log(F.greatest(p_serial, floor)))
-        return half - F.log(1 + half + half * half / 2)  # Fisher: three tests, six degrees of freedom
+        for p in (upper_tail(z_chi), p_runs, p_serial, upper_tail(z_common), upper_tail(z_same)):
+            half = half - F.log(F.greatest(p, floor))
+        return F.struct(half.alias("half"))
+
+    def fisher(s: Column) -> Column:
+        h = s["half"]
+        return h - F.log(1 + h + F.pow(h, F.lit(2)) / 2 + F.pow(h, F.lit(3)) / 6 + F.pow(h, F.lit(4)) / 24 + F.pow(h, F.lit(5)) / 120)  # six tests, twelve degrees of freedom
 
-    packed = F.struct(from_chars(own, alphabet).alias("x"), F.length(alphabet).alias("k"), own.alias("own"))
-    return F.transform(F.array(packed), stats)[0]
+    packed = F.struct(from_chars(own, law["alphabet"]).alias("x"), own.alias("own"), law.alias("law"))
+    return F.transform(F.transform(F.array(packed), stats), fisher)[0]
 
 
 def length_class(n: Column) -> Column:
@@ -150,7 +202,7 @@ def length_class(n: Column) -> Column:
 
 
 def bits(n: Column, code: Column) -> Column:
-    return n * F.when(code == "hex", 4).when(code == "base32", 5).otherwise(6)
+    return n * F.when(code == "hex", 4).when(code.isin("base32", "base36", "letters"), 5).otherwise(6)
 
 
 def scanned(docs: DataFrame, text_col: str, base: str = "base_spans", runs: str = "runs") -> DataFrame:

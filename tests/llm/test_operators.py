@@ -1,7 +1,9 @@
 """The operators on Spark: whole small tables against brute force, and the odd cases."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -190,6 +192,23 @@ def test_secrets_by_randomness_and_odd_rows(spark, odd):
     assert secrets.find(odd.limit(0)).collect() == []
 
 
+def test_secrets_of_every_alphabet_are_tested(spark):
+    r = random.Random(11)
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alphabets = {"lower32": low + "234567", "upper32": up + "234567", "lower36": low + digits, "upper36": up + digits, "letters": low + up, "base64": low + up + digits + "+/"}
+    keys = [(a, "".join(r.choices(chars, k=n))) for a, chars in alphabets.items() for n in (20, 24, 32, 40) for _ in range(15)]
+    words = "internationalization electroencephalographically counterrevolutionaries chapter12section4paragraph5 getElementsByTagName InvalidArgumentException UncharacteristicallyLong AbstractConfigurationProvider PYTHONFRAMEWORKINSTALLDIR".split()
+    rows = [(i, f"é the key {k} stays") for i, (_, k) in enumerate(keys)] + [(1000 + i, f"the word {w} stays " * 30) for i, w in enumerate(words)]  # words are the more common runs, as in a corpus
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = {x.doc_id: [(s.start, s.stop) for s in x.spans] for x in secrets.find(docs).collect()}
+    for a in alphabets:
+        mine = [(i, k) for i, (b, k) in enumerate(keys) if a == b]
+        assert sum(found[i] == [(10, 10 + len(k))] for i, k in mine) >= 0.9 * len(mine), a
+    assert not [w for i, w in enumerate(words) if found[1000 + i]]
+    masked = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    assert all((masked[i] == t) == (not found[i]) and (secrets.MASK in masked[i]) == bool(found[i]) for i, t in rows)
+
+
 def test_op6_finds_planted_items(spark, odd):
     item = "The quick brown fox jumps over the lazy dog while the five boxing wizards jump quickly over it."
     items = spark.createDataFrame([(9, item), (8, item.upper()), (7, None), (6, ""), (5, "word"), (None, "words that have no id at all, and so match nothing")], "item_id bigint, text string")

@@ -181,38 +181,101 @@ def reference_table(files: DataFrame) -> DataFrame:
     return per_file(files, lambda c: reference_rows(parse(c)[0]), "source string, target string, vector string, in_signature boolean, start int, stop int")
 
 
-def signature_rows(source: bytes) -> list[tuple]:
-    """A hash of each symbol's whole text and one of its signature, neither of which white space or comments change."""
-    import hashlib
-
-    root, parser = parse(source)
+def symbol_spans(root: Node) -> list[tuple[str, str | None, int, int, int]]:
+    """Name, member, start, end of the signature and end of each symbol."""
     found, out = scopes(root), []
 
-    def mark(a: int, b: int) -> int:
-        text = "\x1f".join(w for (_, s, e), w in zip(parser.toks, parser.words, strict=True) if a <= s and e <= b)
-        return int.from_bytes(hashlib.md5(text.encode("latin-1"), usedforsecurity=False).digest()[:8], "little", signed=True)
-
     def add(n: Node, name: str, member: str | None) -> None:
         body = n.role("body")
-        out.append((name, member, mark(n.start, n.stop), mark(n.start, body.start if body is not None else n.stop)))
+        out.append((name, member, n.start, body.start if body is not None else n.stop, n.stop))
 
     for n in root.walk():
         s = scope_at(found, n.start)
         if n.kind in CLASS_KINDS:
             full = s.qualify(n.value).lower()
             first = min([m.start for m in n.children if m.kind not in ("extends", "implements", "type", "attribute_list")], default=n.stop)
-            out.append((full, None, mark(n.start, n.stop), mark(n.start, first)))
+            out.append((full, None, n.start, first, n.stop))
             for m in n.children:
                 if m.kind == "method":
                     add(m, full, m.value.lower())
                 elif m.kind in ("property", "class_constant"):
                     for i in m.children:
                         if i.kind in ("property_item", "constant_item"):
-                            out.append((full, i.value, mark(m.start, m.stop), mark(m.start, m.stop)))
+                            out.append((full, i.value, m.start, m.stop, m.stop))
         elif n.kind == "function":
             add(n, s.qualify(n.value).lower(), None)
     return out
 
 
+def signature_rows(source: bytes) -> list[tuple]:
+    """A hash of each symbol's whole text and one of its signature, neither of which white space or comments change."""
+    import hashlib
+
+    root, parser = parse(source)
+
+    def mark(a: int, b: int) -> int:
+        text = "\x1f".join(w for (_, s, e), w in zip(parser.toks, parser.words, strict=True) if a <= s and e <= b)
+        return int.from_bytes(hashlib.md5(text.encode("latin-1"), usedforsecurity=False).digest()[:8], "little", signed=True)
+
+    return [(name, member, mark(a, b), mark(a, c)) for name, member, a, c, b in symbol_spans(root)]
+
+
 def signature_table(files: DataFrame) -> DataFrame:
     return per_file(files, signature_rows, "symbol string, member string, hash bigint, signature_hash bigint")
+
+
+def fingerprint_rows(source: bytes, docblocks: bool = False) -> list[tuple]:
+    """A structural fingerprint of each symbol and one of its signature.
+
+    Hashed are the tokens, each with its length before it: names as what they
+    stand for, whatever their case, keywords in lower case, all else as written.
+    White space, comments and how a name is imported do not count; with
+    ``docblocks``, documentation comments with an ``@`` before a symbol do.
+    """
+    import hashlib
+
+    root, parser = parse(source)
+    found = scopes(root)
+    full = {a: name.lower() for a, _, name, _, _ in name_rows(root)}
+    attributes = {n.start for n in root.walk() if n.kind == "attribute"}
+    types = {n.start: n.stop for n in root.walk() if n.kind == "type"}
+    words: list[tuple[int, int, str]] = []
+    inside = 0
+    for (kind, a, b), low, word in zip(parser.toks, parser.low, parser.words, strict=True):
+        inside = max(inside, types.get(a, 0))
+        if a in full:
+            word = full[a]
+        elif kind == "name" and (a < inside or a in attributes):
+            word = scope_at(found, a).resolve(word)[0].lower()
+        elif kind == "keyword":
+            word = low
+        words.append((a, b, word))
+    before: dict[int, str] = {}
+    doc = ""
+    for kind, a, b in parser.all:
+        if kind == "comment":
+            doc = parser.text[a:b] if parser.text.startswith("/**", a) and "@" in parser.text[a:b] else doc
+        elif kind != "space":
+            if doc:
+                before[a] = doc
+            doc = ""
+
+    def mark(a: int, b: int) -> int:
+        h = hashlib.md5(usedforsecurity=False)
+        for at, to, word in words:
+            if a <= at and to <= b:
+                for w in (*([before[at]] if docblocks and at in before else []), word):
+                    h.update(b"%d:" % len(w) + w.encode("latin-1"))
+        return int.from_bytes(h.digest()[:8], "little", signed=True)
+
+    return [(name, member, mark(a, b), mark(a, c)) for name, member, a, c, b in symbol_spans(root)]
+
+
+def fingerprint_table(files: DataFrame, docblocks: bool = False) -> DataFrame:
+    return per_file(files, lambda c: fingerprint_rows(c, docblocks), "symbol string, member string, fingerprint bigint, signature_fingerprint bigint")
+
+
+def structural_duplicates(fingerprints: DataFrame, by: str = "fingerprint") -> DataFrame:
+    """``by`` and ``copies`` of each fingerprint that stands more than once, with the least file and symbol that has it."""
+    at = F.struct("file_id", "symbol", "member")
+    return fingerprints.groupBy(by).agg(F.count("*").alias("copies"), F.min(at).alias("first")).where("copies > 1").select(by, "copies", "first.*")

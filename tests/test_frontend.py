@@ -141,3 +141,20 @@ def test_signatures_follow_what_they_should():
     a, same, body, sign = of("return 1;"), of("return  1 ;", note="/* x */"), of("return 2;"), of("return 1;", "int $b")
     key = ("a", "f")
     assert a == same and a[key][1] == body[key][1] and a[key][0] != body[key][0] and a[key][1] != sign[key][1]
+
+
+def test_structural_fingerprints(spark):
+    one = b"<?php namespace A; use B\\C as D; use function B\\g;\nclass X extends D { /** @return D */ public function m(D|int $x): D { return g(new D, 'Some Text', D::Z); } #[D(1)] private ?D $p; }"
+    same = b"<?php\nnamespace A;\nuse B\\C;\nuse B;\n// a note\nCLASS X extends C {\n  public function m(\\B\\c|int $x): B\\C { /* why */ return \\B\\g(new C, 'Some Text', C::Z); }\n #[C(1)] private ?C $p; }"
+    text, body, other = one.replace(b"Some Text", b"some text"), one.replace(b"new D,", b"new D, 1,"), one.replace(b"B\\C as D", b"B\\E as D")
+    files = spark.createDataFrame(list(enumerate([one, same, text, body, other])), "file_id bigint, contents binary")
+    table = tables.fingerprint_table(files)
+    got = {(r.file_id, r.member): (r.fingerprint, r.signature_fingerprint) for r in table.collect()}
+    assert len({m for _, m in got}) == 3
+    for m in {m for _, m in got}:
+        assert got[0, m] == got[1, m] and got[0, m][0] != got[4, m][0]
+    for m in (None, "m"):
+        assert len({got[i, m][0] for i in (0, 2, 3, 4)}) == 4 and got[0, m][1] == got[2, m][1] == got[3, m][1] != got[4, m][1]
+    documented = {(r.file_id, r.member): r.fingerprint for r in tables.fingerprint_table(files, docblocks=True).collect()}
+    assert documented[0, "m"] != documented[1, "m"]
+    assert {(r.copies, r.file_id, r.member) for r in tables.structural_duplicates(table.where("file_id < 2")).collect()} == {(2, 0, m) for _, m in got}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 #: Python workers get Arrow batches of at most so many bytes (and one row more).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,40 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+class ByteCache:
+    """What each key gives, kept while it fits: at most ``limit`` bytes in two generations, the older of which goes first.
+
+    Keys of over ``longest`` bytes are not kept.
+    """
+
+    #: What the interpreter holds for an entry besides key and value.
+    ENTRY = 180
+
+    def __init__(self, limit: int = 64 << 20, longest: int = 256):
+        self.limit, self.longest, self.held = limit, longest, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def look_up(self, keys: list, make: Callable) -> list:
+        out = []
+        young, old = self.young, self.old
+        for k in keys:
+            v = young.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    v = make(k)
+                size = len(k) + (len(v) if isinstance(v, bytes) else 0)
+                if size <= self.longest:
+                    young[k] = v
+                    self.held += size + self.ENTRY
+                    if 2 * self.held > self.limit:
+                        self.young, self.old, self.held = {}, young, 0
+                        young, old = self.young, self.old
+            out.append(v)
+        return out
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a longer name if ``df`` has that column already."""
     taken = {c.lower() for c in df.columns}

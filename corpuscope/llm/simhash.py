@@ -2,17 +2,18 @@
 
 A text's fingerprint has a bit for each bit that is set in over half the XXH64
 values of its shingles.  Two fingerprints of 8 bytes that differ in d bits share
-at least 8 - d bytes at the same positions.  The index therefore has one entry
-for each set of 8 - d byte positions: what meets there has the guaranteed
-minimum of matches.  Within an entry the shared positional bytes of each pair
-are tallied, pairs below the minimum (none but for index collisions) go, and
-the rest are verified by their differing bits.
-
-The index holds distinct fingerprints only, so copies cost nothing, and an
-entry has at most 2 ** (8 * d) of them, whatever the corpus; large entries are
-searched by neighbouring values, not pair by pair.  Each entry gives the links
-of a spanning forest, and components come from alternating star steps, each
-written to the shared folder.
+at least 8 - d bytes at the same positions.  The positions go into d + 2 blocks,
+so such a pair shares two whole blocks: the index has one posting list for each
+two blocks and the bytes there.  The pairs of a list tally the positional bytes
+they share, those with the guaranteed 8 - d stay, and these are verified by
+their differing bits.  A list of over ``LONG`` fingerprints is split, before it
+comes to one task, by the bytes at as many further positions as the minimum
+still asks for, in every choice of them, which loses no pair.
+
+The index holds distinct fingerprints only, so copies cost nothing, and a split
+list has at most 2 ** (8 * d) of them, whatever the corpus.  A list gives the
+links of a spanning forest, not its pairs, and components come from alternating
+star steps, each written to the shared folder.
 
 Texts without words, null ones included, have fingerprint 0 and link like any
 other.  Null ids take part in groups but never give a group its name; a group
@@ -29,14 +30,16 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WORDS, SEED, BITS = 3, 42, 2
-#: Entries up to this size are tallied pair by pair.
-PAIRWISE = 64
+#: Fingerprints of a posting list from which it is split by further positions.
+LONG = 1024
+#: Rows of a list that are tallied against all of it at once.
+ROWS = 256
 
 
 def shingles(text: str, words: int = WORDS) -> list[bytes]:
@@ -71,60 +74,84 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 
 
-def tally(fps: np.ndarray) -> np.ndarray:
-    """Shared positional bytes of each pair."""
-    b = fps.view(np.uint8).reshape(-1, 8)
-    return (b[:, None, :] == b[None, :, :]).sum(axis=2)
+def tally(some: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Shared positional bytes of each of ``some`` with each of ``fps``."""
+    a, b = some.view(np.uint8).reshape(-1, 8), fps.view(np.uint8).reshape(-1, 8)
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for k in range(8):
+        out += a[:, k, None] == b[None, :, k]
+    return out
 
 
-def entry_links(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest, as (member, least member), of the links within one entry."""
+def list_links(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest, as (member, least member), of the links within one posting list."""
     fps = np.unique(fps)
-    parent = list(range(len(fps)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        for i, k in zip(a.tolist(), b.tolist(), strict=True):
-            i, k = root(i), root(k)
-            if i != k:
-                parent[max(i, k)] = min(i, k)
-
-    if len(fps) <= PAIRWISE:
-        near = (tally(fps) >= 8 - bits) & (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits)
-        join(*np.nonzero(np.triu(near, 1)))
-    else:
-        differ = [i for i in range(64) if np.any((fps ^ fps[0]) >> np.uint64(i) & np.uint64(1))]
-        for n in range(1, bits + 1):
-            for some in combinations(differ, n):
-                other = fps ^ np.uint64(sum(1 << i for i in some))
-                at = np.searchsorted(fps, other).clip(max=len(fps) - 1)
-                hit = np.flatnonzero((fps[at] == other) & (fps < other))
-                join(hit, at[hit])
-    return [(int(fps[i]), int(fps[r])) for i in range(len(fps)) if (r := root(i)) != i]
+    label = np.arange(len(fps))
+    for a in range(0, len(fps), ROWS):
+        some = fps[a : a + ROWS]
+        i, k = np.nonzero(tally(some, fps[a:]) >= 8 - bits)
+        near = (np.bitwise_count(some[i] ^ fps[a + k]) <= bits) & (k > i)
+        i, k = label[a + i[near]], label[a + k[near]]
+        pairs = np.unique(np.stack([np.minimum(i, k), np.maximum(i, k)], axis=1)[i != k], axis=0).tolist()
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(y, y)
+            return x
+
+        for x, y in pairs:
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if parent:
+            step = np.arange(len(fps))
+            for x in list(parent):
+                step[x] = root(x)
+            label = step[label]
+    return [(int(f), int(fps[r])) for f, r in zip(fps[label != np.arange(len(fps))], label[label != np.arange(len(fps))], strict=True)]
+
+
+def masked(fp: Column, positions: tuple[int, ...]) -> Column:
+    """The bytes of ``fp`` at ``positions``."""
+    return fp.bitwiseAND(F.lit(int(np.uint64(sum(0xFF << 8 * i for i in positions)).view(np.int64))))
+
+
+def postings(fps: DataFrame, bits: int) -> DataFrame:
+    """The index: list (``c``, ``k``) and ``fp``, long lists split."""
+    edges = [8 * i // (bits + 2) for i in range(bits + 3)]
+    blocks = [tuple(range(a, b)) for a, b in zip(edges, edges[1:])]
+    lists = [a + b for a, b in combinations(blocks, 2)]
+    fp = F.col("fp")
+    index = fps.select("fp").distinct().select("fp", F.explode(F.array(*(F.struct(F.lit(c).alias("c"), masked(fp, p).alias("k")) for c, p in enumerate(lists)))).alias("x")).select("x.c", "x.k", "fp")
+    index = common.stored(index, "postings")
+    long = index.groupBy("c", "k").count().where(F.col("count") > LONG).select("c", "k", F.lit(True).alias("long"))
+    sized = index.join(long, ["c", "k"], "left")
+    split = F.lit(None).cast("array<struct<c:int,k:bigint>>")
+    number = len(lists)
+    for c, p in enumerate(lists):
+        rest = [i for i in range(8) if i not in p]
+        more = list(combinations(rest, max(0, 8 - bits - len(p))))
+        split = F.when(F.col("c") == c, F.array(*(F.struct(F.lit(number + i).alias("c"), masked(fp, p + q).alias("k")) for i, q in enumerate(more)))).otherwise(split)
+        number += len(more)
+    own = F.array(F.struct(F.col("c"), F.col("k")))
+    return sized.select("fp", F.explode(F.when(F.col("long"), split).otherwise(own)).alias("x")).select("x.c", "x.k", "fp")
 
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (``u``, ``v``) that connect all distinct ``fp`` within ``bits`` of each other."""
-    if not 0 < bits < 8:
-        raise ValueError("1 to 7 differing bits")
-    kept = list(combinations(range(8), 8 - bits))
-    key = [sum(0xFF << 8 * i for i in some) for some in kept]
-    masks = F.array(*(F.struct(F.lit(c).cast("tinyint").alias("c"), F.col("fp").bitwiseAND(F.lit(int(np.uint64(m).view(np.int64)))).alias("k")) for c, m in enumerate(key)))
-    index = fps.select("fp").distinct().select("fp", F.explode(masks).alias("x")).select("x.c", "x.k", "fp").repartition("c", "k").sortWithinPartitions("c", "k", "fp")
+    if not 0 < bits < 7:
+        raise ValueError("1 to 6 differing bits")
+    index = postings(fps, bits).repartition("c", "k").sortWithinPartitions("c", "k", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        rest: list[np.ndarray] = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
         def found(c: np.ndarray, k: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             edges = np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1
             starts = np.concatenate([[0], edges])
             ends = np.concatenate([edges, [len(c)]])
-            out = [x for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True) for x in entry_links(fp[a:b].view(np.uint64), bits)]
+            out = [x for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True) for x in list_links(fp[a:b].view(np.uint64), bits)]
             if out:
                 u, v = np.array(out, np.uint64).view(np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -134,7 +161,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             if not len(c):
                 continue
             same = np.flatnonzero((c != c[-1]) | (k != k[-1]))
-            cut = same[-1] + 1 if len(same) else 0  # the last entry may go on in the next batch
+            cut = same[-1] + 1 if len(same) else 0  # the last list may go on in the next batch
             if cut:
                 yield from found(c[:cut], k[:cut], fp[:cut])
             rest = [c[cut:], k[cut:], fp[cut:]]

@@ -1,17 +1,19 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are lower-cased and their white space is collapsed.  An
-item of m characters has an error budget of k = floor(RATE * m) edits and is
-split into k + 1 pieces; whatever k edits do, one piece stays whole.  An
-automaton finds exact piece hits in every whole text, and Myers' bit-parallel
-distance decides each place that a hit points to.
-
-Items longer than ``PART`` characters are cut into parts that are matched one
-by one; any of them marks a text.  Items shorter than ``SHORTEST`` characters
-match only a text that equals them; empty and null items match nothing.  Items
-of equal text are one item, with the smallest id.  Items go in blocks of about
-``BLOCK`` characters, each block one pass over the texts: what a task holds
-does not follow the number of items.
+Texts and test items are lower-cased and their white space is collapsed; items
+that are equal then are one item, with the smallest id.  An item of m
+characters has an error budget of k = floor(RATE * m) edits and is split into
+k + 1 pieces; whatever k edits do, one piece stays whole.  Automata find exact
+piece hits in every whole text, and Myers' bit-parallel distance decides each
+place that a hit points to.  An item without a budget is one piece, which must
+stand between white space or the ends of the text.  Null and empty items match
+nothing.
+
+The texts are read once, whatever the number of items: these go in blocks of
+about ``BLOCK`` characters, each a broadcast value that executors keep on disk,
+and a task takes the blocks in turn over each ``TURN`` bytes of texts.  What the
+driver and a task hold at once follows the size of a block, and results do not
+depend on it.
 
 Null and empty texts match nothing and are clean.  Repeated rows and null ids
 give their own rows; an empty table of either kind gives no matches.
@@ -24,17 +26,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
 RATE = 0.08
-SHORTEST = 24
-PART = 2048
 BLOCK = 1 << 20
-
-Item = tuple[int, int, str]  # number in its block, part, text
+TURN = 16 << 20
+#: Blocks whose automata a worker keeps; more are built anew in each turn.
+BLOCKS_KEPT = 4
 
 
 def normal(text: str) -> str:
@@ -42,7 +45,7 @@ def normal(text: str) -> str:
 
 
 def budget(m: int, rate: float) -> int:
-    return int(m * rate) if m >= SHORTEST else 0
+    return int(m * rate)
 
 
 def split_pieces(text: str, k: int) -> list[tuple[int, str]]:
@@ -82,43 +85,44 @@ def myers(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds a block of items in normalised texts."""
+    """Finds a block of normalised items in normalised texts."""
 
-    def __init__(self, items: tuple[Item, ...], rate: float):
+    def __init__(self, items: tuple[str, ...], rate: float):
         import ahocorasick
 
         self.items, self.rate = items, rate
-        self.equal: dict[str, list[int]] = defaultdict(list)
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        self.budgets = [budget(len(t), rate) for *_, t in items]
-        for i, (_, _, t) in enumerate(items):
-            if len(t) < SHORTEST:
-                self.equal[t].append(i)
-                continue
+        self.budgets = [budget(len(t), rate) for t in items]
+        for i, t in enumerate(items):
             for a, piece in split_pieces(t, self.budgets[i]):
                 where[piece].append((i, a))
         self.automaton = ahocorasick.Automaton()
         for piece, at in where.items():
             self.automaton.add_word(piece, (len(piece), at))
-        if where:
-            self.automaton.make_automaton()
         self.any = bool(where)
-        self.peq: dict[int, dict[str, int]] = {}
+        if self.any:
+            self.automaton.make_automaton()
 
     def find(self, text: str, first: bool = False) -> list[tuple[int, int, int]]:
         """Item, distance and end of the best match of each item that matches; only one if ``first``."""
-        out = [(i, 0, len(text)) for i in self.equal.get(text, ())]
-        if not self.any or first and out:
+        out: list[tuple[int, int, int]] = []
+        if not self.any or not text:
             return out
         starts: dict[int, list[int]] = defaultdict(list)
         for end, (n, at) in self.automaton.iter(text):
             for i, a in at:
                 starts[i].append(end + 1 - n - a)
         for i, found in starts.items():
-            pattern, k = self.items[i][2], self.budgets[i]
+            pattern, k = self.items[i], self.budgets[i]
             m = len(pattern)
-            if i not in self.peq:
-                self.peq[i] = masks(pattern)
+            if not k:
+                at = next((a for a in found if text[a - 1 : a] in ("", " ") and text[a + m : a + m + 1] in ("", " ")), None)
+                if at is not None:
+                    out.append((i, 0, at + m))
+                    if first:
+                        break
+                continue
+            peq = masks(pattern)
             best, best_end = k + 1, 0
             found.sort()
             at = 0
@@ -128,7 +132,7 @@ class Matcher:
                     hi = found[at]
                     at += 1
                 a = max(0, lo - k)
-                d, end = myers(self.peq[i], m, text[a : hi + m + k])
+                d, end = myers(peq, m, text[a : hi + m + k])
                 if d < best:
                     best, best_end = d, a + end
                     if not d or first:
@@ -140,77 +144,90 @@ class Matcher:
         return out
 
 
-@lru_cache(maxsize=1)
-def matcher(items: tuple[Item, ...], rate: float) -> Matcher:
+@lru_cache(maxsize=BLOCKS_KEPT)
+def matcher(items: tuple[str, ...], rate: float) -> Matcher:
     return Matcher(items, rate)
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, tuple[Item, ...]]]:
-    """Ids and parts of the distinct items, in blocks of about ``BLOCK`` characters.
-
-    The blocks hold ``items`` once; they come to the driver one by one.
-    """
+def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, tuple[str, ...]]]:
+    """Ids and texts of the distinct items, in blocks of about ``BLOCK`` characters, which come to the driver one by one."""
     own = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    own = common.stored(own.groupBy("text").agg(F.min("id").alias("id")), "items")
-    total = own.agg(F.sum(F.length("text"))).first()[0] or 0
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([normal(t) for t in common.texts_of(batch)], pa.string())], ["id", "text"])
+
+    even = common.map_batches(own, run, own.schema).where("text != ''")
+    even = common.stored(even.groupBy("text").agg(F.min("id").alias("id")), "items")
+    total = even.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + total // BLOCK
     for k in range(n):
-        rows = own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("id").collect()
-        least: dict[str, object] = {}
-        for r in rows:
-            if t := normal(r["text"]):
-                least.setdefault(t, r["id"])
-        ids = list(least.values())
-        parts = []
-        for i, t in enumerate(least):
-            count = max(1, -(-len(t) // PART))
-            edges = [len(t) * j // count for j in range(count + 1)]
-            parts += [(i, j, t[a:b]) for j, (a, b) in enumerate(zip(edges, edges[1:]))]
-        if parts:
-            yield ids, tuple(parts)
+        rows = even.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("id").collect()
+        if rows:
+            yield [r["id"] for r in rows], tuple(r["text"] for r in rows)
+
+
+def in_turns(batches: Iterator[pa.RecordBatch], at: int, held: list[Broadcast], rate: float, first: bool) -> Iterator[tuple[list[pa.RecordBatch], list[list[tuple]]]]:
+    """Batches of about ``TURN`` bytes and, for each of their rows, what was found: item id, distance, end."""
+
+    def found(some: list[pa.RecordBatch]) -> list[list[tuple]]:
+        texts = [normal(str(t or "")) for b in some for t in b.column(at).to_pylist()]
+        out: list[list[tuple]] = [[] for _ in texts]
+        for block in held:
+            ids, items = block.value
+            own = matcher(items, rate)
+            for i, t in enumerate(texts):
+                if not (first and out[i]):
+                    out[i] += [(ids[x], d, end) for x, d, end in own.find(t, first)]
+            if len(held) > BLOCKS_KEPT:
+                block.__dict__.pop("_value", None)  # it is read again from the executor's disk
+        return out
+
+    some: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            some.append(batch)
+            size += batch.nbytes
+        if size >= (TURN if len(held) > BLOCKS_KEPT else 1):
+            yield some, found(some)
+            some, size = [], 0
+    if some:
+        yield some, found(some)
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each text and item part that match: ``id_col``, ``item_id``, ``part``, ``distance``, ``match_end``.
+    """A row for each text and item that match: ``id_col``, ``item_id``, ``distance``, ``match_end``.
 
     ``match_end`` counts characters of the normalised text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kinds = rows.schema["id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"id {kinds[0]}, item {kinds[1]}, part int, distance int, match_end bigint"
-    out = None
-    for ids, parts in blocks(items, item_id, item_text):
-        held = spark.sparkContext.broadcast((ids, parts))  # about BLOCK characters
-
-        def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
-            ids, parts = held.value
-            own = matcher(parts, rate)
-            found = [(k, *x) for k, t in enumerate(common.texts_of(batch)) for x in own.find(normal(t))]
-            arrays = [batch.column("id").take(pa.array([x[0] for x in found], pa.int32())), pa.array([ids[parts[x[1]][0]] for x in found]).cast(pa_kind(kinds[1])), pa.array([parts[x[1]][1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["id", "item", "part", "distance", "match_end"])
-
-        one = common.map_batches(rows, run, schema)
-        out = one if out is None else out.unionAll(one)
-    if out is None:
-        out = spark.createDataFrame([], schema)
+    kinds = rows.schema["id"].dataType.simpleString(), items.schema[item_id].dataType
+    held = [spark.sparkContext.broadcast(x) for x in blocks(items, item_id, item_text)]  # about BLOCK characters each
+    kind = to_arrow_type(kinds[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, found in in_turns(batches, 1, held, rate, first=False):
+            hits = [(k, *x) for k, own in enumerate(found) for x in own]
+            ids = pa.concat_arrays([b.column(0) for b in some])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], kind), pa.array([h[2] for h in hits], pa.int32()), pa.array([h[3] for h in hits], pa.int64())], ["id", "item", "distance", "match_end"])
+
+    common.small_batches(spark)
+    out = rows.mapInArrow(run, f"id {kinds[0]}, item {kinds[1].simpleString()}, distance int, match_end bigint")
     return out.withColumnsRenamed({"id": id_col, "item": item_id})
 
 
-def pa_kind(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows in which no item is found, with all their columns, whatever their names."""
     at = docs.columns.index(text_col)
-    out = docs
-    for ids, parts in blocks(items, item_id, item_text):
-        held = docs.sparkSession.sparkContext.broadcast((ids, parts))  # about BLOCK characters
+    held = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks(items, item_id, item_text)]  # about BLOCK characters each
 
-        def run(batch: pa.RecordBatch, held=held) -> pa.RecordBatch:
-            own = matcher(held.value[1], rate)
-            return batch.filter(pa.array([not own.find(normal(str(t or "")), first=True) for t in batch.column(at).to_pylist()], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, found in in_turns(batches, at, held, rate, first=True):
+            start = 0
+            for b in some:
+                yield b.filter(pa.array([not x for x in found[start : start + b.num_rows]], pa.bool_()))
+                start += b.num_rows
 
-        out = common.map_batches(out, run, docs.schema)
-    return out
+    common.small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

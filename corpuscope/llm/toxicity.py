@@ -31,8 +31,6 @@ WIDTH = 1 << 18
 STEPS, RATE, SPARSITY, RIDGE, PENALTY = 250, 0.5, 1.5e-4, 1e-6, 2.0
 #: Features of fewer labelled texts are left out.
 LEAST_TEXTS = 3
-#: Pairs of sentences and their swapped copies to regularise on at most.
-PAIRS = 20_000
 
 #: Identity terms by kind; a term is swapped for each other of its kind.
 IDENTITIES = (
@@ -53,19 +51,13 @@ def slot(token: str) -> int:
 
 
 class Hasher:
-    """Slots of words; a bounded cache."""
+    """Slots of words; a byte-bounded cache."""
 
     def __init__(self) -> None:
-        self.kept: dict[str, int] = {}
+        self.kept = common.ByteCache(48 << 20, 64)
 
     def words(self, words: list[str]) -> set[int]:
-        new = set(words).difference(self.kept)
-        if len(self.kept) > 500_000:
-            self.kept = {}
-            new = set(words)
-        for w in new:
-            self.kept[w] = slot(w)
-        return set(map(self.kept.__getitem__, set(words)))
+        return set(self.kept.look_up(list(set(words)), slot))
 
 
 HASHER = Hasher()
@@ -86,6 +78,14 @@ def swapped(words: list[str]) -> list[list[str]]:
     return [[SWAP[w][(SWAP[w].index(w) + k) % len(SWAP[w])] if w in SWAP else w for w in words] for k in range(1, most)]
 
 
+#: Stands between the two sides of a pair; no slot has these bytes.
+MARK = b"\xff\xff\xff\xff"
+
+
+def packed(numbers: list[int]) -> bytes:
+    return np.array(numbers, "<i4").tobytes()
+
+
 def pairs_of(text: str) -> list[tuple[list[int], list[int]]]:
     out = []
     for s in SENTENCE.split(text):
@@ -110,8 +110,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], list[int]]]) -> Model:
-    """Proximal gradient steps on the log loss, the sparsity penalty and the counterfactual penalty."""
+def train(rows: list, labels: list[int], pairs: list[tuple[list[int], list[int]]], times: list[int] | None = None) -> Model:
+    """Proximal gradient steps on the log loss, the sparsity penalty and the counterfactual penalty.
+
+    ``rows`` and ``pairs`` are lists of slots; ``times`` says how often each pair occurs.
+    """
     if not labels or len(set(labels)) < 2:
         return Model(0.0, {}, float(np.mean(labels)) if labels else 0.0)
     y = np.array(labels, float)
@@ -131,9 +134,10 @@ def train(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int],
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     # a diagonal step: features that are on in many texts take smaller ones
     mass = np.bincount(c, weights=weight[r], minlength=len(used)) + 1e-4
-    w, b, n = np.zeros(len(used)), 0.0, max(1, len(pairs))
+    often = np.array(times if times is not None else [1] * len(pairs), float)
+    w, b, n = np.zeros(len(used)), 0.0, max(1.0, often.sum())
     fast, before = w.copy(), w.copy()
-    pair_mass = (np.bincount(lost_at, minlength=len(used)) + np.bincount(won_at, minlength=len(used))) / n
+    pair_mass = (np.bincount(lost_at, often[lost], len(used)) + np.bincount(won_at, often[won], len(used))) / n
     step = RATE / (mass * 8 + 2 * PENALTY * pair_mass * 4)
     for k in range(STEPS):
         z = b + np.bincount(r, weights=fast[c], minlength=len(y))
@@ -141,7 +145,7 @@ def train(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int],
         e = (p - y) * weight
         g = np.bincount(c, weights=e[r], minlength=len(used)) + RIDGE * fast
         if len(pairs):
-            change = np.bincount(lost, weights=fast[lost_at], minlength=n) - np.bincount(won, weights=fast[won_at], minlength=n)
+            change = often * (np.bincount(lost, fast[lost_at], len(pairs)) - np.bincount(won, fast[won_at], len(pairs)))
             g += 2 * PENALTY / n * (np.bincount(lost_at, weights=change[lost], minlength=len(used)) - np.bincount(won_at, weights=change[won], minlength=len(used)))
         b -= 0.5 * e.sum()
         w = fast - step * g
@@ -164,14 +168,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = common.texts_of(batch)
-        on = pa.array([slots(words_of(t)) for t in texts], pa.list_(pa.int32()))
-        swaps = pa.array([[x for a, b in pairs_of(t) for x in (a, b)] for t in texts], pa.list_(pa.list_(pa.int32())))
+        on = pa.array([packed(slots(words_of(t))) for t in texts], pa.binary())
+        swaps = pa.array([[packed(a) + MARK + packed(b) for a, b in pairs_of(t)] for t in texts], pa.list_(pa.binary()))
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), on, swaps], ["id", "label", "on", "swaps"])
 
-    found = common.map_batches(texts.select("id", "label", "text"), run, f"id {kind}, label int, on array<int>, swaps array<array<int>>")
-    one = found.groupBy("id").agg(F.min_by(F.struct("label", "on", "swaps"), F.xxhash64("on")).alias("x")).orderBy("id").collect()  # a repeated id counts once
-    pairs = [(s[k], s[k + 1]) for r in one for s in [r["x"]["swaps"]] for k in range(0, len(s), 2)][:PAIRS]
-    return train([r["x"]["on"] for r in one], [r["x"]["label"] for r in one], pairs)
+    found = common.map_batches(texts.select("id", "label", "text"), run, f"id {kind}, label int, on binary, swaps array<binary>")
+    one = found.groupBy("id").agg(F.min_by(F.struct("label", "on", "swaps"), F.xxhash64("on", "swaps")).alias("x")).select("id", "x.*")  # a repeated id counts once
+    one = common.stored(one, "sample")  # at most SAMPLE rows
+    pairs = one.select(F.explode("swaps").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).orderBy("pair").collect()
+    both = [tuple(np.frombuffer(x, "<i4") for x in r["pair"].split(MARK)) for r in pairs]
+    rows = one.orderBy("id").select("on", "label").collect()
+    return train([np.frombuffer(r["on"], "<i4") for r in rows], [r["label"] for r in rows], both, [r["n"] for r in pairs])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Parts whose counts a worker keeps; beyond it starts anew.
-CACHE_PARTS = 600_000
+#: Bytes of parts, with what the interpreter holds for each, that a worker keeps counts of; beyond it starts anew.
+CACHE_BYTES = 96 << 20
+#: Longer parts are not kept from batch to batch.
+LONGEST = 64
 #: Bytes that go to the tokenizer in one call.
 CALL_BYTES = 1 << 19
 #: A part that is not cut off from its neighbours by safe boundaries.
@@ -36,21 +38,26 @@ STOP = re.compile(r"(?<=[A-Za-z])[.,](?=[ \n])")
 
 
 def by_bytes(parts: Iterable[str], limit: int = CALL_BYTES) -> Iterable[list[str]]:
-    """Lists of parts of about ``limit`` bytes each; a longer part comes alone."""
+    """Lists of parts of about ``limit`` bytes of UTF-8 each; a longer part comes alone."""
+    return by_order(sorted(parts, key=len), limit)
+
+
+def by_order(parts: Iterable[str], limit: int = CALL_BYTES) -> Iterable[list[str]]:
     out: list[str] = []
     held = 0
-    for p in sorted(parts, key=len):
-        if out and held + len(p) > limit:
+    for p in parts:
+        size = 16 + (len(p) if p.isascii() else len(p.encode()))
+        if out and held + size > limit:
             yield out
             out, held = [], 0
         out.append(p)
-        held += len(p) + 16
+        held += size
     if out:
         yield out
 
 
 class Counter:
-    """Counts tokens; what it keeps is bounded by ``CACHE_PARTS`` and a batch."""
+    """Counts tokens; what it keeps is bounded by ``CACHE_BYTES`` and a batch."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,9 +67,10 @@ class Counter:
         self.tokenizer.no_padding()
         pre = self.tokenizer.pre_tokenizer
         self.splits = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.tokenizer.normalizer is None
-        self.splits = self.splits and all(len(self.tokenizer.encode(x, add_special_tokens=False)) == 1 for x in ".,\n") and not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.splits = self.splits and all(len(self.tokenizer.encode(x, add_special_tokens=False)) == 1 for x in ".,\n") and not any(re.search(r"[\s.,]", t.content) or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values())
         self.after_space: dict[str, int] = {}
         self.other: dict[str, int] = {}
+        self.held = 0
 
     def encode(self, parts: Iterable[str], lead: str, to: dict[str, int]) -> None:
         for some in by_bytes(parts):
@@ -84,23 +92,29 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         if not self.splits:
             return [len(e) for some in by_order(texts) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        if len(self.after_space) + len(self.other) > CACHE_PARTS:
-            self.after_space, self.other = {}, {}
+        if self.held > CACHE_BYTES:
+            self.after_space, self.other, self.held = {}, {}, 0
         cut = []  # heads of lines, what follows a space, tokens that were taken out
         for t in texts:
             t, marks = STOP.subn("", t)
             lines = [x.split(" ") for x in t.split("\n")]
             cut.append(([x[0] for x in lines], [p for x in lines for p in x[1:]], marks + len(lines) - 1))
+        long: set[str] = set()
         for k, lead, to in ((0, "", self.other), (1, " ", self.after_space)):
             new: set[str] = set()
             for c in cut:
                 new.update(c[k])
             new = new.difference(to)
+            self.held += sum(map(len, new)) + 140 * len(new)
+            long.update(p for p in new if len(p) > LONGEST)
             unsafe = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
             to.update(dict.fromkeys(unsafe, OPEN))
             self.encode(new - unsafe, lead, to)
         other, after = self.other.__getitem__, self.after_space.__getitem__
         sums = [sum(map(other, heads)) + sum(map(after, tails)) + n for heads, tails, n in cut]
+        for to in (self.other, self.after_space):
+            for p in [p for p in long if p in to]:
+                del to[p]
         slow = [i for i, n in enumerate(sums) if n < 0]
         for i in slow:
             parts = self.whole_parts(texts[i]) if texts[i] else []
@@ -110,19 +124,6 @@ class Counter:
         return sums
 
 
-def by_order(texts: list[str], limit: int = CALL_BYTES) -> Iterable[list[str]]:
-    out: list[str] = []
-    held = 0
-    for t in texts:
-        if out and held + len(t) > limit:
-            yield out
-            out, held = [], 0
-        out.append(t)
-        held += len(t)
-    if out:
-        yield out
-
-
 class Pieces:
     """Counts of a SentencePiece model."""
 

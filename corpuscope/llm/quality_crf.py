@@ -5,10 +5,13 @@ windows of the whole text.  A linear-chain conditional random field over the
 text's lines then marks each line as content or boilerplate (Viterbi decoding);
 the share of words in content lines decides whether the text stays.
 
-The field is fitted by gradient ascent on the conditional likelihood, on a
-bounded sample of labelled texts: all lines of a text labelled 1 are content,
-those of a text labelled 0 boilerplate.  ``SAMPLE`` bounds the texts and
-``SAMPLE_LINES`` the lines taken of each for fitting; scoring reads every line.
+A label says of a text as a whole whether it is good, not which of its lines
+are.  The lines' labels are hidden, and training is by proportions: of a good
+text at least ``SHARE`` of the words should stand in content lines, of a bad one
+at most 1 - ``SHARE``.  Each step takes the distribution over labels nearest to
+the field's own that meets this, and moves the field towards it, transitions
+between labels included.  The sample is of whole texts: at most ``SAMPLE``, of at
+most ``TEXT_LINES`` lines each; scoring reads every line of every text.
 
 Nulls and empty texts have no words, fail the rules and are not kept.  Without
 labelled texts of both kinds the model has no say: a text is kept unless the
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled texts to fit on at most, and lines of each.
-SAMPLE, SAMPLE_LINES = 3000, 60
-EPOCHS, RATE, L2 = 12, 0.3, 1e-3
+#: Labelled texts to fit on at most, and how many lines such a text may have.
+SAMPLE, TEXT_LINES = 3000, 2000
+#: Share of a good text's words that are content at least in training.
+SHARE = 0.8
+EPOCHS, RATE, L2 = 80, 0.3, 1e-3
 #: A text whose words are content in such a share stays.
 CONTENT_SHARE = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -114,41 +119,57 @@ class Field:
     def scores(self, on: np.ndarray) -> np.ndarray:
         return self.emit[on].sum(axis=1)
 
-    def marginals(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities of each line's label, and the expected number of each move."""
-        n = len(s)
-        fore, back = np.zeros((n, 2)), np.zeros((n, 2))
-        fore[0] = s[0]
-        for i in range(1, n):
-            fore[i] = s[i] + np.logaddexp(fore[i - 1, 0] + self.move[0], fore[i - 1, 1] + self.move[1])
-        for i in range(n - 2, -1, -1):
-            y = s[i + 1] + back[i + 1]
-            back[i] = np.logaddexp(self.move[:, 0] + y[0], self.move[:, 1] + y[1])
-        z = np.logaddexp(fore[-1, 0], fore[-1, 1])
-        p = np.exp(fore + back - z)
-        pair = np.exp(fore[:-1, :, None] + self.move[None] + (s[1:] + back[1:])[:, None, :] - z).sum(axis=0)
-        return p, pair
-
-    def fit(self, texts: list[tuple[np.ndarray, int]]) -> "Field":
-        g_emit, g_move = np.full_like(self.emit, 1e-6), np.full_like(self.move, 1e-6)
-        order = np.random.default_rng(0)
+    def marginals(self, s: np.ndarray, steps: list[np.ndarray], text: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of each line's label, and the expected number of each move, by ``weight`` of its text.
+
+        ``steps`` holds the lines that are first in their text, then the second
+        ones and so on, texts in the same order; ``text`` is each line's text.
+        """
+        fore, back = s.copy(), np.zeros_like(s)
+        for before, at in zip(steps, steps[1:]):
+            f = fore[before[: len(at)]]
+            fore[at] += np.logaddexp(f[:, :1] + self.move[0], f[:, 1:] + self.move[1])
+        for before, at in zip(reversed(steps[:-1]), reversed(steps[1:])):
+            y = s[at] + back[at]
+            back[before[: len(at)]] = np.logaddexp(y[:, :1] + self.move[:, 0], y[:, 1:] + self.move[:, 1])
+        z = np.logaddexp(*(fore[steps[0]] + back[steps[0]]).T)
+        p = np.exp(fore + back - z[text][:, None])
+        if len(steps) < 2:
+            return p, np.zeros((2, 2))
+        one, two = np.concatenate([b[: len(a)] for b, a in zip(steps, steps[1:])]), np.concatenate(steps[1:])
+        pair = np.exp(fore[one][:, :, None] + self.move + (s[two] + back[two])[:, None, :] - z[text[one]][:, None, None])
+        return p, np.einsum("n,nij->ij", weight[text[one]], pair)
+
+    def fit(self, texts: list[tuple[np.ndarray, np.ndarray, int]]) -> "Field":
+        """From texts as features and words of each line, and the text's label."""
+        texts = sorted(texts, key=lambda x: -len(x[0]))
+        sizes = np.array([len(x[0]) for x in texts])
+        starts = np.cumsum(sizes) - sizes
+        steps = [starts[: np.count_nonzero(sizes > k)] + k for k in range(sizes[0])]
+        text = np.repeat(np.arange(len(texts)), sizes)
+        on, words = np.concatenate([x[0] for x in texts]), np.concatenate([x[1] for x in texts]).astype(float)
+        share = words / np.add.reduceat(words, starts)[text]
+        pull = share * sizes[text]
+        good = np.array([x[2] for x in texts]) == 1
+        weight = 1 / sizes / len(texts)
+        force = np.zeros(len(texts))
+        g_emit, g_move = np.full_like(self.emit, 1e-8), np.full_like(self.move, 1e-8)
         for _ in range(EPOCHS):
-            for k in order.permutation(len(texts)):
-                on, label = texts[k]
-                n = len(on)
-                p, pair = self.marginals(self.scores(on))
-                target = np.zeros((n, 2))
-                target[:, label] = 1
-                d_emit = np.zeros_like(self.emit)
-                np.add.at(d_emit, on.ravel(), np.repeat((target - p) / n, on.shape[1], axis=0))
-                d_move = -pair / n
-                d_move[label, label] += (n - 1) / n
-                d_emit -= L2 * self.emit
-                d_move -= L2 * self.move
-                g_emit += d_emit**2
-                g_move += d_move**2
-                self.emit += RATE * d_emit / np.sqrt(g_emit)
-                self.move += RATE * d_move / np.sqrt(g_move)
+            s = self.scores(on)
+            p, pair = self.marginals(s, steps, text, weight)
+            held = s.copy()
+            held[:, 1] += force[text] * pull
+            q, moved = self.marginals(held, steps, text, weight)
+            got = np.add.reduceat(share * q[:, 1], starts)
+            force += 4 * (np.where(good, SHARE, 1 - SHARE) - got)
+            force = np.where(good, np.clip(force, 0, 20), np.clip(force, -20, 0))
+            d = (q - p) * weight[text][:, None]
+            d_emit = np.stack([np.bincount(on.ravel(), np.repeat(d[:, y], on.shape[1]), WIDTH) for y in (0, 1)], axis=1) - L2 * self.emit / len(texts)
+            d_move = moved - pair - L2 * self.move / len(texts)
+            g_emit += d_emit**2
+            g_move += d_move**2
+            self.emit += RATE * d_emit / np.sqrt(g_emit)
+            self.move += RATE * d_move / np.sqrt(g_move)
         return self
 
     def decode(self, on: np.ndarray) -> list[int]:
@@ -211,13 +232,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(i, features(lines_of(t)[:SAMPLE_LINES]).ravel().tolist()) for i, t in enumerate(common.texts_of(batch)) if lines_of(t)]
-        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array([i for i, _ in rows], pa.int32())) for c in ("id", "label")] + [pa.array([x for _, x in rows], pa.list_(pa.int32()))], ["id", "label", "lines"])
-
-    found = common.map_batches(texts.join(F.broadcast(sample), "id").select("id", "text", "label"), run, f"id {marked.schema['id'].dataType.simpleString()}, label int, lines array<int>")
-    one = found.groupBy("id").agg(F.min_by(F.struct("label", "lines"), F.xxhash64("lines")).alias("x")).orderBy("id").collect()  # a repeated id counts once
-    rows = [(np.array(r["x"]["lines"]).reshape(-1, len(CUTS)), r["x"]["label"]) for r in one]
-    return Field().fit(rows) if len({y for _, y in rows}) == 2 else None
+        split = [lines_of(t) for t in common.texts_of(batch)]
+        rows = [(i, x) for i, x in enumerate(split) if 0 < len(x) <= TEXT_LINES]
+        on = [features(x).astype(np.uint8).tobytes() for _, x in rows]
+        words = [np.array([len(y.encode().split()) for y in x], "<i4").tobytes() for _, x in rows]
+        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array([i for i, _ in rows], pa.int32())) for c in ("id", "label")] + [pa.array(on, pa.binary()), pa.array(words, pa.binary())], ["id", "label", "on", "words"])
+
+    found = common.map_batches(texts.join(F.broadcast(sample), "id").select("id", "text", "label"), run, f"id {marked.schema['id'].dataType.simpleString()}, label int, on binary, words binary")
+    one = found.groupBy("id").agg(F.min_by(F.struct("label", "on", "words"), F.xxhash64("on", "words")).alias("x")).orderBy("id").collect()  # a repeated id counts once
+    rows = [(np.frombuffer(r["x"]["on"], np.uint8).reshape(-1, len(CUTS)).astype(np.int64), np.frombuffer(r["x"]["words"], "<i4"), r["x"]["label"]) for r in one]
+    return Field().fit(rows) if len({y for *_, y in rows}) == 2 else None
 
 
 def measure(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

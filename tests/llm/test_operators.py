@@ -1,5 +1,6 @@
 """The operators on Spark: whole small tables against brute force, and the odd cases."""
 
+import base64
 import hashlib
 import random
 import re
@@ -10,8 +11,9 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from corpuscope.llm import decontam, packing, phrase_automata, quality_crf, queries, repeats, secrets, simhash, suffix_bwt, token_counts, toxicity
+from corpuscope.llm import decontam, html_extract, packing, phrase_automata, quality_crf, queries, repeats, secrets, simhash, suffix_bwt, token_counts, toxicity
 
 SCHEMA = "doc_id bigint, text string, row_key int, key string, id int, `group` string"
 LONG = "some very long text of many words " * 6000
@@ -92,6 +94,19 @@ def test_repeats_across_periodic_and_shifted_texts(spark):
         assert got[i][0] == sum(gone)
 
 
+def test_op1_on_spark(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = Counter((r.page_id, r.url, html_extract.main_text(r.html), len(html_extract.main_text(r.html))) for r in pages.collect())
+    assert Counter((r.page_id, r.url, r.text, r.n_chars) for r in queries.op1_html_extraction(spark, sf_dir).collect()) == want
+    text = "It was the best of the times that they had in this town and all of them were here."
+    rows = [(1, "u", None, "x"), (None, None, f"<p>{text}</p>", "x"), (2, "v", "", None), (3, "w", f"<article><p>{text}", "y"), (3, "w", f"<article><p>{text}", "y"), (4, "z", "<div>" * 30000 + text, "y"), (5, "q", f"<p>{text} " * 20000, None)]
+    odd = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = Counter((r.page_id, r.url, r.text) for r in html_extract.extract(odd).collect())
+    many = "\n".join([text] * 20000)
+    assert got == Counter([(1, "u", ""), (None, None, text), (2, "v", ""), (3, "w", text), (3, "w", text), (4, "z", text), (5, "q", many)])
+    assert html_extract.extract(odd.limit(0)).collect() == []
+
+
 def test_op2_against_all_pairs(spark, sf_dir, texts):
     got = queries.op2_simhash_near_dedup(spark, sf_dir).collect()
     fps = {i: simhash.fingerprint(t) for i, t in texts.items()}
@@ -209,6 +224,66 @@ def test_secrets_of_every_alphabet_are_tested(spark):
     assert all((masked[i] == t) == (not found[i]) and (secrets.MASK in masked[i]) == bool(found[i]) for i, t in rows)
 
 
+def battery_of(run, alphabet, starts, scores):
+    """The battery by its formulas, in plain Python."""
+    letters, k, n = string.ascii_lowercase, len(alphabet), len(run)
+    x = [alphabet.index(c) for c in run]
+    df = k - 1
+    chi = sum(v * v for v in Counter(x).values()) * k / n - n
+    z = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+    ends = [0, *starts, k]
+    shares = [(b - a) / k for a, b in zip(ends, ends[1:])]
+    two, three = sum(p**2 for p in shares), sum(p**3 for p in shares)
+    kinds = [sum(v >= s for s in starts) for v in x]
+    same = sum(a == b for a, b in zip(kinds, kinds[1:]))
+    z += (same - (n - 1) * two) / ((n - 1) * (two - two**2) + 2 * (n - 2) * (three - two**2)) ** 0.5
+    mean = sum(x) / n
+    z += abs((sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / sum((a - mean) ** 2 for a in x) + 1 / n) * n**0.5)
+    met = [scores[letters.index(a.lower()) * 26 + letters.index(b.lower())] for a, b in zip(run, run[1:]) if a.isalpha() and b.isalpha() and not (a.islower() and b.isupper())]
+    m = np.mean(scores)
+    return z + (sum(met) - len(met) * m) / (len(met) ** 0.5 * np.std(scores)) if met else z
+
+
+def test_battery_by_its_formulas(spark):
+    r = random.Random(2)
+    pairs = secrets.Pairs({a + b: r.randint(0, 50) for a in string.ascii_lowercase for b in string.ascii_lowercase})
+    runs = [(c, "".join(r.choices(secrets.ALPHABETS[c], k=r.randint(20, 60)))) for c in ("hex", "base32", "base36", "letters", "base64") for _ in range(12)]
+    rows = spark.createDataFrame(runs, "code string, run string").select("code", "run", secrets.battery(F.col("run"), F.col("code"), pairs).alias("s")).collect()
+    for row in rows:
+        assert abs(row.s - battery_of(row.run, secrets.ALPHABETS[row.code], secrets.CLASSES[row.code], pairs.scores)) < 1e-6, row
+
+
+def test_thresholds_are_those_of_benjamini_and_hochberg(spark):
+    r = random.Random(3)
+    tests = [(c, r.choice([0, 1, 5, 20, 40, 60, 90]) if r.random() < 0.5 else r.randint(0, 30), i) for c in (17, 18, 19) for i in range(60)] + [(20, 10, i) for i in range(40)]
+    want = {}
+    for c in (17, 18, 19, 20):
+        p = sorted(np.exp(-b / 10) for k, b, _ in tests if k == c)
+        good = [x for i, x in enumerate(p, 1) if x <= secrets.FALSE_RATE * i / len(p) and x < 1]
+        if good:
+            want[c] = round(-10 * np.log(max(good)))
+    assert secrets.thresholds(spark.createDataFrame(tests * 3, "class int, bucket int, key bigint")) == want and 20 not in want
+
+
+def test_secrets_planted_among_names(spark):
+    r = random.Random(4)
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    kinds = (low + digits, up + digits, low + up, low + up + digits, low + up + digits + "+/", "0123456789ABCDEF")
+    keys = ["".join(r.choices(k, k=r.choice([20, 24, 32, 40, 64]))) for k in kinds for _ in range(30)]
+    words = "quick brown holiday berlin setup linux install guides report final version photo image abstract factory payment customer history temperature statistics university chemistry mountain station airport".split()
+    names = ["IMG_20240131_Holiday_Berlin", "Q3ReportFinalVersionB2024", "docs/Guides/Install2/Linux/Setup", base64.b64encode(b"https://www.example.com/a/page?x=1").decode(), "A" * 40, "=" * 30 + "x", "01234567890123456789"]
+    for _ in range(300):
+        w = r.choices(words, k=r.randint(3, 6))
+        names.append(r.choice(["".join(w), "_".join(w), "/".join(x.capitalize() for x in w), "".join(x.capitalize() for x in w), f"IMG_{r.randint(20200101, 20241231)}_{w[0].capitalize()}_{w[1].capitalize()}", f"{w[0]}{r.randint(1, 99)}{''.join(w[1:])}"]))
+    rows = list(enumerate(f"the value {x} stays" for x in keys + names))
+    found = {x.doc_id for x in secrets.find(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect() if any(s.kind == "random" for s in x.spans)}
+    right = sum(i < len(keys) for i in found)
+    assert right >= 0.9 * len(keys) and len(found) - right <= 0.05 * len(found)
+    assert not found & set(range(len(keys), len(keys) + 7))
+    alone = spark.createDataFrame([(i, t) for i, t in rows if i >= len(keys)], "doc_id bigint, text string")
+    assert sum(any(s.kind == "random" for s in x.spans) for x in secrets.find(alone).collect()) <= 3
+
+
 def test_op6_finds_planted_items(spark, odd):
     item = "The quick brown fox jumps over the lazy dog while the five boxing wizards jump quickly over it."
     items = spark.createDataFrame([(9, item), (8, item.upper()), (7, None), (6, ""), (5, "word"), (None, "words that have no id at all, and so match nothing")], "item_id bigint, text string")
@@ -224,8 +299,39 @@ def test_op6_finds_planted_items(spark, odd):
 
 def test_op6_in_blocks(spark, sf_dir, monkeypatch):
     whole = Counter(queries.op6_benchmark_decontamination(spark, sf_dir).collect())
-    monkeypatch.setattr(decontam, "BLOCK", 2000)
+    upper = "The quick brown fox jumps over the lazy dog while the five boxing wizards jump quickly over it."
+    items = spark.createDataFrame([(14, upper), (15, upper.upper()), *((100 + i, f"{i} other words {i * i} of item {i} " * 9) for i in range(30))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "so " + upper.lower()), (2, "x")], "doc_id bigint, text string")
+    for block, kept in ((2000, 4), (400, 4), (400, 1000)):
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        monkeypatch.setattr(decontam, "BLOCKS_KEPT", kept)
+        assert [(r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()] == [(1, 14)]
     assert Counter(queries.op6_benchmark_decontamination(spark, sf_dir).collect()) == whole and whole
+    plan = queries.op6_benchmark_decontamination(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == plan.count("FileScan parquet") == 1
+
+
+def test_op6_against_every_item_and_text(spark, sf_dir, texts):
+    got = {(r.doc_id, r.item_id): (r.distance, r.match_end) for r in queries.op6_benchmark_decontamination(spark, sf_dir).collect()}
+    items = {}
+    for r in sorted(spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect(), key=lambda r: r.item_id):
+        items.setdefault(decontam.normal(r.text), r.item_id)
+    want = {}
+    normal = {i: decontam.normal(t) for i, t in texts.items()}
+    for t, i in items.items():
+        peq, k = decontam.masks(t), decontam.budget(len(t), decontam.RATE)
+        for d, text in normal.items():
+            if any(t[a : a + 8] in text for a in range(0, len(t) - 7)) or len(t) < 40:  # k edits of 8 % leave eight characters in a row whole
+                found = decontam.myers(peq, len(t), text)
+                if found[0] <= k:
+                    want[d, i] = found
+    assert {x: d for x, (d, _) in got.items()} == {x: d for x, (d, _) in want.items()} and want
+
+
+def test_op6_of_letters_that_change_length(spark):
+    items = spark.createDataFrame([(1, "İstanbul µm straße ǅ " * 6), (2, "ab"), (None, "x")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "so İSTANBUL  µm Straße ǅ " + "İstanbul µm straße ǅ " * 5), (2, "an ab\nhere"), (3, "abs"), (4, None)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()) == [(1, 1), (2, 2)]
 
 
 def test_op7_contract(spark, sf_dir, odd):

@@ -26,8 +26,7 @@ def test_stages_decide_as_their_operators(spark, sf_dir, steps):
     fps = {i: simhash.fingerprint(r.text) for i, r in rows[1].items()}
     assert all((fps[a] ^ fps[b]).bit_count() > 2 for a in rows[2] for b in rows[2] if a < b)
     assert all(any((fps[i] ^ fps[k]).bit_count() <= 2 for k in fps if k != i) for i in set(rows[1]) - set(rows[2]))
-    items = [(r.item_id, 0, decontam.normal(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    m = decontam.Matcher(tuple(items), decontam.RATE)
+    m = decontam.Matcher(tuple({decontam.normal(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}), decontam.RATE)
     assert set(rows[3]) == {i for i, r in rows[2].items() if not m.find(decontam.normal(r.text))}
     for i, r in rows[4].items():
         before = rows[3][i]

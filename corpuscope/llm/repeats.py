@@ -205,8 +205,8 @@ def text_key(text: str = "text"):
     return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
-def recurring(rows: DataFrame, unit: Unit, find: Finder) -> DataFrame:
-    """``key`` of a text of ``rows`` (``text``) and ``found``, the first and last-but-one window of each run that recurs."""
+def recurring(rows: DataFrame, unit: Unit, find: Finder) -> tuple[DataFrame, list[DataFrame]]:
+    """``key`` of a text of ``rows`` (``text``) and ``found``, the first and last-but-one window of each run that recurs; and the stored tables behind it."""
 
     def anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, hashes, counts = [], [], []
@@ -237,15 +237,19 @@ def recurring(rows: DataFrame, unit: Unit, find: Finder) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), signed(np.array(hashes, np.uint64)), pa.array(starts, pa.int64()), pa.array(ids, pa.binary()), pa.array(parts, pa.binary())], ["key", "h", "start", "sid", "part"])
 
     found = common.stored(common.map_batches(texts.join(wanted, "key").select("key", "text", "hs"), cut, "key binary, h bigint, start bigint, sid binary, part binary"), "stretches")
+    common.discard(seen)
     distinct = found.groupBy("h", "sid", "part").agg(F.count("*").alias("weight")).select("h", F.col("h").cast("string").cast("binary").alias("g"), "sid", "part", "weight")
-    calm, crowded = settle(common.stored(distinct, "distinct"))
-    groups, places_of = [calm], []
+    cells = [common.stored(distinct, "distinct")]
+    calm, crowded = settle(cells[0])
+    groups, places_of, behind = [calm], [], [found]
     for block in blocks_of(unit):
         if crowded is None:
             break
         cut_up = common.stored(smaller(crowded, block, unit), "blocks")
         places_of.append(cut_up.select("sid", F.col("from").alias("above"), "at"))
-        calm, crowded = settle(common.stored(cut_up.groupBy("h", "g", "sid", "part").agg(F.sum("weight").alias("weight")), "distinct"))
+        cells.append(common.stored(cut_up.groupBy("h", "g", "sid", "part").agg(F.sum("weight").alias("weight")), "distinct"))
+        behind.append(cut_up)
+        calm, crowded = settle(cells[-1])
         groups.append(calm)
     every = groups[0]
     for more in groups[1:]:
@@ -259,10 +263,12 @@ def recurring(rows: DataFrame, unit: Unit, find: Finder) -> DataFrame:
 
     sharded = every.select(F.pmod(F.xxhash64("g"), F.lit(shards)).alias("shard"), "sid", "part", F.least("weight", F.lit(2)).cast("int").alias("weight"))
     marks = common.stored(sharded.groupBy("shard").applyInArrow(solve, "sid binary, runs array<int>"), "marks")
+    behind.append(marks)
+    common.discard(*cells)
     for level in range(len(places_of) - 1, -1, -1):  # what blocks have found belongs to what they were cut from
         up = places_of[level].join(marks, "sid").select(F.col("above").alias("sid"), F.transform("runs", lambda x: x + F.col("at")).alias("runs"))
         marks = marks.unionAll(up)
-    return found.select("sid", "key", "start").join(marks, "sid").groupBy("key").agg(F.flatten(F.collect_list(F.transform("runs", lambda x: x + F.col("start")))).alias("found"))
+    return found.select("sid", "key", "start").join(marks, "sid").groupBy("key").agg(F.flatten(F.collect_list(F.transform("runs", lambda x: x + F.col("start")))).alias("found")), behind
 
 
 def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -310,7 +316,9 @@ def remove(docs: DataFrame, unit: Unit, find: Finder, id_col: str = "doc_id", te
     """``id_col``, ``n_units``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked for, ``kept`` (bytes) of each row."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     copies = rows.select(text_key().alias("key")).groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("whole"))
-    marks = common.stored(recurring(rows, unit, find).join(copies, "key", "full_outer"), "removals")
+    found, behind = recurring(rows, unit, find)
+    marks = common.stored(found.join(copies, "key", "full_outer"), "removals")
+    common.discard(*behind)
     out = rows.withColumn("key", text_key()).join(marks, "key", "left").select("id", "text", "found", "whole")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -281,7 +281,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Null:
     spark = docs.sparkSession
     split = F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "[^a-z0-9]+")
     own = docs.select(F.explode(split).alias("word")).where(F.col("word").rlike(f"^[a-z]{{2,{SHORTEST - 1}}}$"))
-    some = own.groupBy("word").count().unionAll(spark.createDataFrame([(w, 1) for w in WORDS], "word string, count bigint"))
+    some = own.groupBy("word").count().unionAll(spark.range(1).select(F.explode(F.split(F.lit(" ".join(WORDS)), " ")).alias("word"), F.lit(1).cast("bigint").alias("count")))
     words = common.stored(some.groupBy("word").agg(F.sum("count").alias("count")), "words")
     pairs = words.select(F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("i"), "word", "count").groupBy(F.substring("word", F.col("i"), F.lit(2)).alias("pair")).agg(F.sum("count").alias("n"))
     counted = Pairs({r["pair"]: r["n"] for r in pairs.collect()})  # 676 rows at most
@@ -289,6 +289,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Null:
     made = names(top).withColumn("code", encoding(F.col("run"))).where("code is not null")
     seen = made.select("code", length_class(F.length("run")).alias("class"), battery(F.col("run"), F.col("code"), counted).alias("s"))
     rows = seen.groupBy("code", "class").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("q")).collect()
+    common.discard(words)
     sums: dict[tuple[str | None, int | None], list[float]] = {}
     for r in rows:
         for key in ((r["code"], r["class"]), (None, r["class"]), (None, None)):

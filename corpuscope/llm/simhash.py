@@ -117,8 +117,8 @@ def masked(fp: Column, positions: tuple[int, ...]) -> Column:
     return fp.bitwiseAND(F.lit(int(np.uint64(sum(0xFF << 8 * i for i in positions)).view(np.int64))))
 
 
-def postings(fps: DataFrame, bits: int) -> DataFrame:
-    """The index: list (``c``, ``k``) and ``fp``, long lists split."""
+def postings(fps: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The index: list (``c``, ``k``) and ``fp``, long lists split; and the stored table that it is made from."""
     edges = [8 * i // (bits + 2) for i in range(bits + 3)]
     blocks = [tuple(range(a, b)) for a, b in zip(edges, edges[1:])]
     lists = [a + b for a, b in combinations(blocks, 2)]
@@ -135,14 +135,15 @@ def postings(fps: DataFrame, bits: int) -> DataFrame:
         split = F.when(F.col("c") == c, F.array(*(F.struct(F.lit(number + i).alias("c"), masked(fp, p + q).alias("k")) for i, q in enumerate(more)))).otherwise(split)
         number += len(more)
     own = F.array(F.struct(F.col("c"), F.col("k")))
-    return sized.select("fp", F.explode(F.when(F.col("long"), split).otherwise(own)).alias("x")).select("x.c", "x.k", "fp")
+    return sized.select("fp", F.explode(F.when(F.col("long"), split).otherwise(own)).alias("x")).select("x.c", "x.k", "fp"), index
 
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (``u``, ``v``) that connect all distinct ``fp`` within ``bits`` of each other."""
     if not 0 < bits < 7:
         raise ValueError("1 to 6 differing bits")
-    index = postings(fps, bits).repartition("c", "k").sortWithinPartitions("c", "k", "fp")
+    made, source = postings(fps, bits)
+    index = made.repartition("c", "k").sortWithinPartitions("c", "k", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
@@ -169,7 +170,9 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             yield from found(*rest)
 
     common.small_batches(fps.sparkSession)
-    return index.mapInArrow(run, "u bigint, v bigint").distinct()
+    out = common.stored(index.mapInArrow(run, "u bigint, v bigint").distinct(), "links")
+    common.discard(source)
+    return out
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -192,7 +195,8 @@ def stars(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        now = common.stored(small, "stars")
+        old, now = now, common.stored(small, "stars")
+        common.discard(old, large)
         before, seen = seen, mark(now)
         if before == seen:
             break
@@ -200,12 +204,17 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def groups(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """``fp`` and ``root`` of each fingerprint that has a link or several rows; ``component_id`` is the least id of its component."""
+    """``fp``, ``root`` and ``component_id``, the least id of its component, of each fingerprint that has a link or several rows."""
     one = common.stored(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "prints")
-    roots = common.stored(stars(links(one, bits)), "roots")
+    found = links(one, bits)
+    stable = stars(found)
+    roots = common.stored(stable, "roots")
+    common.discard(found)
     own = one.join(roots, one["fp"] == roots["node"], "left").where("n > 1 or root is not null").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.select("fp", "root").join(names, "root")
+    out = common.stored(own.select("fp", "root").join(names, "root"), "groups")
+    common.discard(one, roots)
+    return out
 
 
 def components(docs: DataFrame, bits: int = BITS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +230,9 @@ def keep_one(docs: DataFrame, bits: int = BITS, words: int = WORDS, id_col: str
     key = common.free_name(docs, "row_key")
     rows = common.with_key(docs, key)
     fps = common.stored(fingerprints(rows.select(F.struct(F.col(key).alias("k"), F.col(f"`{id_col}`").alias("i")).alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text", words).select("id.k", F.col("id.i").alias("id"), "fp"), "fingerprints")
-    members = common.stored(fps.join(groups(fps.select("id", "fp"), bits).select("fp", "root"), "fp").select("k", "id", "root"), "members")
+    found = groups(fps.select("id", "fp"), bits)
+    members = common.stored(fps.join(found.select("fp", "root"), "fp").select("k", "id", "root"), "members")
+    common.discard(fps, found)
     stay = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("x")).select("x.k")
     gone = members.select("k").join(stay, "k", "left_anti").select(F.col("k").alias(key))
     return rows.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscope.llm import decontam, packing, quality_crf, secrets, simhash
-from corpuscope.llm.common import stored, tables
+from corpuscope.llm.common import discard, stored, tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +41,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
 
 
-STAGES = [("quality rules", quality), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("secret scans", mask_secrets), ("best-fit packing", pack)]
+STAGES = [
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack),
+]
 
 #: A fitted model, a graph closure, edit distances and a tokenizer are beyond SQL over whole tables; the tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stored before the next."""
+    """All stages over ``documents``, each stored before the next; what a stage read goes once its result is stored."""
     docs = tables(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -22,6 +22,10 @@ def strict(issues: DataFrame) -> DataFrame:
     return recordable(issues).select(PLACE).distinct()
 
 
+#: Ordinals that are numbered together.
+RANGE = 1 << 16
+
+
 def loose(issues: DataFrame) -> DataFrame:
     return recordable(issues).groupBy(TEXT).agg(F.count("*").alias("count"))
 
@@ -34,13 +38,19 @@ def strict_filter(issues: DataFrame, baseline: DataFrame) -> DataFrame:
 def loose_filter(issues: DataFrame, baseline: DataFrame) -> DataFrame:
     """Issues beyond the recorded count of their text, counted in their order.
 
-    The running number is taken only within texts that the baseline holds.
+    The running number is taken only within texts that the baseline holds, and
+    within ranges of ``RANGE`` ordinals, to which the counts of the ranges before
+    are added: a text with very many issues is as many tasks' work.
     """
     known = issues.join(baseline, TEXT, "left")
     free = known.where("count is null").drop("count")
-    rank = F.row_number().over(Window.partitionBy(*TEXT).orderBy("ordinal"))
-    held = known.where("count is not null").withColumn("n", rank).where("n > count").drop("n", "count")
-    return free.unionByName(held)
+    part = F.floor(F.col("ordinal") / RANGE)
+    held = known.where("count is not null").withColumn("part", part)
+    sums = held.groupBy(*TEXT, "part").agg(F.count("*").alias("own"))
+    before = F.coalesce(F.sum("own").over(Window.partitionBy(*TEXT).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(*TEXT, "part").orderBy("ordinal"))
+    over = held.withColumn("n", rank).join(sums.select(*TEXT, "part", before.alias("before")), [*TEXT, "part"]).where("before + n > count")
+    return free.unionByName(over.drop("part", "n", "before", "count"))
 
 
 def strict_compare(issues: DataFrame, baseline: DataFrame) -> DataFrame:

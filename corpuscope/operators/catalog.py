@@ -28,16 +28,17 @@ def patched(patches: DataFrame, targets: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     """All ``descendant``, ``ancestor`` pairs of ``child``, ``parent`` edges with their least ``depth``.
 
-    Paths double in length with each step, so the steps follow the logarithm of
-    the depth; pairs that are known stay as they are, which ends cycles.
+    Each step puts the pairs that the last one found before all known ones, so
+    the steps follow the logarithm of the depth; it keeps those that are new,
+    which ends cycles, and a pair's first depth is its least.
     """
     start = edges.where("child is not null and parent is not null and child != parent").select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
 
-    def step(now: DataFrame) -> DataFrame:
-        longer = now.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.descendant")).where("a.descendant != b.ancestor").select("a.descendant", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        return now.unionAll(longer).groupBy("descendant", "ancestor").agg(F.min("depth").alias("depth"))
+    def step(last: DataFrame, every: DataFrame) -> DataFrame:
+        longer = last.alias("a").join(every.alias("b"), F.col("a.ancestor") == F.col("b.descendant")).where("a.descendant != b.ancestor")
+        return longer.groupBy("a.descendant", "b.ancestor").agg(F.min(F.col("a.depth") + F.col("b.depth")).alias("depth"))
 
-    return iterate.until_stable(start, step, ["descendant", "ancestor", "depth"], most)
+    return iterate.grown(start, step, ["descendant", "ancestor"], most)
 
 
 def descendants(pairs: DataFrame) -> DataFrame:

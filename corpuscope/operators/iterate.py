@@ -21,7 +21,7 @@ def stored(df: DataFrame) -> DataFrame:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             where = own.get()
-        elif spark.sparkContext.master.startswith("local["):
+        elif spark.sparkContext.master.split("[")[0] == "local":
             where = "file://" + tempfile.mkdtemp(prefix="corpuscope-")
             spark.sparkContext.setCheckpointDir(where)
         else:
@@ -31,6 +31,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str], most: int = 64) -> DataFrame:
+    """``start`` and all that ``step`` makes of the rows found last and of all rows, until it makes no new ``keys``.
+
+    Each step stores its new rows alone; of rows with equal keys the first
+    step's stay.
+    """
+    new = stored(start)
+    every = new
+    for _ in range(most):
+        new = stored(step(new, every).join(every.select(*keys), keys, "left_anti"))
+        if not new.limit(1).count():
+            return every
+        every = every.unionByName(new)
+    raise RuntimeError(f"more than {most} steps")
+
+
 def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], columns: list[str], most: int = 64) -> DataFrame:
     """Applies ``step`` until its rows stay the same; each step is stored."""
 

@@ -57,10 +57,10 @@ def cascade(changed: DataFrame, refs: DataFrame, most: int | None = 5000) -> Dat
     """
     edges = refs.where("in_signature").select("src", "dst").distinct()
 
-    def step(now: DataFrame) -> DataFrame:
-        return now.unionAll(edges.join(now.withColumnRenamed("symbol", "dst"), "dst").select(F.col("src").alias("symbol"))).distinct()
+    def step(last: DataFrame, every: DataFrame) -> DataFrame:
+        return edges.join(last.withColumnRenamed("symbol", "dst"), "dst").select(F.col("src").alias("symbol")).distinct()
 
-    reached = iterate.until_stable(changed.select("symbol").distinct(), step, ["symbol"], 200)
+    reached = iterate.grown(changed.select("symbol").distinct(), step, ["symbol"], 200)
     if most is not None and reached.limit(most + 1).count() > most:
         return None
     bodies = refs.join(reached.withColumnRenamed("symbol", "dst"), "dst").select(F.col("src").alias("symbol"))

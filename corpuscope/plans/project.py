@@ -31,8 +31,15 @@ class Project:
         self.symbols = stored(tables.symbol_table(files))
         self.refs = stored(tables.reference_table(files))
         self.known = known
+        self.closed: DataFrame | None = None
         self.edges = tables.class_edges(self.symbols).select(ascii_lower(F.col("child")).alias("child"), ascii_lower(F.col("parent")).alias("parent"), "edge_kind").distinct()
 
+    def pairs(self) -> DataFrame:
+        """Descendants and ancestors, made once."""
+        if self.closed is None:
+            self.closed = catalog.closure(self.edges.select("child", "parent"))
+        return self.closed
+
     def classes(self) -> DataFrame:
         return self.symbols.where(F.col("kind").isin(*CLASS_KINDS)).withColumn("key", ascii_lower(F.col("name")))
 
@@ -79,7 +86,7 @@ class Project:
 
     def unimplemented_methods(self) -> DataFrame:
         """Abstract methods that a class which is not abstract gets and neither it nor a nearer ancestor implements."""
-        pairs = catalog.closure(self.edges.select("child", "parent"))
+        pairs = self.pairs()
         c = self.classes()
         m = self.symbols.where("kind = 'method'").withColumns({"owner": ascii_lower(F.col("owner")), "member": ascii_lower(F.col("name"))}).join(c.select(F.col("key").alias("owner"), F.col("kind").alias("owner_kind")).distinct(), "owner")
         is_abstract = (F.col("owner_kind") == "interface") | F.array_contains("flags", "abstract")
@@ -91,7 +98,7 @@ class Project:
 
     def circular_inheritance(self) -> DataFrame:
         """Classes that reach themselves: an edge whose parent has the child among its ancestors."""
-        pairs = catalog.closure(self.edges.select("child", "parent"))
+        pairs = self.pairs()
         loops = self.edges.join(pairs, (F.col("parent") == F.col("descendant")) & (F.col("child") == F.col("ancestor")), "left_semi").select(F.col("child").alias("key")).unionAll(self.edges.where("child = parent").select("child")).distinct()
         return issue(self.classes().join(loops, "key", "left_semi"), "circular-inheritance", ERROR, F.concat("name", F.lit(" is its own ancestor.")))
 

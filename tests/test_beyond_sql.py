@@ -153,3 +153,22 @@ def test_change_stream(spark, tmp_path):
         assert query.awaitTermination(120)
     assert {r.file_id: r.payload for r in own.at(2).collect()} == {1: "ONE", 3: "three"}
     assert spark.createDataFrame([("a/vendor/x.php",), ("a/x.php",), ("a/x.txt",)], "n string").where(changes.watched(F.col("n"), ["php"])).count() == 1
+
+
+def test_loose_baseline_numbers_issues_across_ranges(spark, monkeypatch):
+    from corpuscope.operators import baseline
+
+    monkeypatch.setattr(baseline, "RANGE", 7)
+    rows = [("a", "c", "m", i) for i in range(40)] + [("a", "c", "other", i) for i in range(100, 103)] + [("b", "c", "m", i * 5) for i in range(20)]
+    found = spark.createDataFrame(rows, "file string, code string, message string, ordinal bigint")
+    held = spark.createDataFrame([("a", "c", "m", 25), ("b", "c", "m", 18)], "file string, code string, message string, count bigint")
+    got = sorted((r.file, r.message, r.ordinal) for r in baseline.loose_filter(found, held).collect())
+    assert got == sorted([("a", "m", i) for i in range(25, 40)] + [("a", "other", i) for i in range(100, 103)] + [("b", "m", 90), ("b", "m", 95)])
+
+
+def test_grown_ends_on_cycles_and_keeps_the_first_step(spark):
+    from corpuscope.operators import catalog
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("x", "x"), (None, "a")], "child string, parent string")
+    got = {(r.descendant, r.ancestor): r.depth for r in catalog.closure(edges).collect()}
+    assert got[("a", "b")] == 1 and got[("a", "c")] == 1 and got[("b", "a")] == 2 and ("x", "x") not in got

@@ -183,8 +183,19 @@ query(f"WITH {b.ISSUES} SELECT {LEVEL.format('max(level)')} || '[' || code || ']
 ESCAPED = "replace(message, '\"', '&quot;')"
 query(f"""WITH {b.ISSUES} SELECT '<file name="' || file || '">' || string_agg('<error line="' || (line + 1) || '" column="' || (col + 1) || '" severity="' || CASE level WHEN 2 THEN 'warning' WHEN 3 THEN 'error' ELSE 'info' END || '" message="' || {ESCAPED} || '" source="' || code || '"/>', '' ORDER BY line, col,
  '<error line="' || (line + 1) || '" column="' || (col + 1) || '" severity="' || CASE level WHEN 2 THEN 'warning' WHEN 3 THEN 'error' ELSE 'info' END || '" message="' || {ESCAPED} || '" source="' || code || '"/>') || '</file>' AS value FROM issues GROUP BY file""")(report("checkstyle"))
-for form in ("json", "gitlab", "sarif"):
-    query(None)(report(form))
+STRUCTS = {
+    "json": f"{{'level': {NAMED}, 'code': code, 'message': message, 'file': file, 'line': line, 'column': col}}",
+    "gitlab": (
+        "{'description': message, 'check_name': code, 'fingerprint': md5(concat_ws('|', file, code, line + 1, message)), "
+        "'severity': CASE level WHEN 2 THEN 'minor' WHEN 3 THEN 'major' ELSE 'info' END, 'location': {'path': file, 'lines': {'begin': line + 1}}}"
+    ),
+    "sarif": (
+        "{'ruleId': code, 'level': CASE level WHEN 2 THEN 'warning' WHEN 3 THEN 'error' ELSE 'note' END, 'message': {'text': message}, "
+        "'locations': [{'physicalLocation': {'artifactLocation': {'uri': file}, 'region': {'startLine': line + 1, 'startColumn': col + 1}}}]}"
+    ),
+}
+for form, sql in STRUCTS.items():
+    query(f"WITH {b.ISSUES} SELECT CAST(to_json({sql}) AS VARCHAR) AS value FROM issues")(report(form))
 
 
 # Files.
@@ -256,13 +267,13 @@ def descendant_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.descendants(catalog.closure(b.class_edges(spark, sf_dir)))
 
 
-MEMBERS = "members AS (SELECT 'n' || n_nationkey AS owner, 'm' || (n_nationkey % 3) AS member FROM nation UNION ALL SELECT 'r' || r_regionkey, 'm' || (r_regionkey % 2) FROM region UNION ALL SELECT 'root', m FROM (VALUES ('m0'), ('m9')) v(m) UNION ALL SELECT 'c' || c_custkey, 'm0' FROM customer WHERE c_custkey % 10 = 0)"
+MEMBERS = "members AS (SELECT 'n' || n_nationkey AS owner, 'm' || (n_nationkey % 3) AS member FROM nation UNION ALL SELECT 'r' || r_regionkey, 'm' || (r_regionkey % 2) FROM region UNION ALL SELECT 'root', m FROM (VALUES ('m0'), ('m9')) v(m) UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'm0' ELSE 'm5' END FROM customer)"
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = b.table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("owner"), F.concat(F.lit("m"), F.col("n_nationkey") % 3).alias("member"))
     r = b.table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey"), F.concat(F.lit("m"), F.col("r_regionkey") % 2))
-    c = b.table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("c"), "c_custkey"), F.lit("m0"))
+    c = b.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.when(F.col("c_mktsegment") == "BUILDING", "m0").otherwise("m5"))
     return n.unionAll(r).unionAll(spark.createDataFrame([("root", "m0"), ("root", "m9")], "owner string, member string")).unionAll(c)
 
 
@@ -290,10 +301,10 @@ def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.counts(b.refs(spark, sf_dir))
 
 
-@query(f"WITH {b.REFS} SELECT 'p' || p_partkey AS symbol FROM part WHERE 'p' || p_partkey NOT IN (SELECT dst FROM refs WHERE in_signature AND starts_with(src, 's1'))")
+@query(f"WITH {b.REFS} SELECT 'p' || p_partkey AS symbol FROM part WHERE 'p' || p_partkey NOT IN (SELECT dst FROM refs WHERE in_signature)")
 def unused_defs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     defs = b.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("symbol"))
-    return references.unused(defs, b.refs(spark, sf_dir).where("in_signature AND src LIKE 's1%'"))
+    return references.unused(defs, b.refs(spark, sf_dir).where("in_signature"))
 
 
 @query(f"WITH {b.REFS} SELECT src, dst, in_signature FROM refs WHERE dst NOT IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 10) AND starts_with(dst, 'p')")

@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frontend import lint, semantics, syntax, tables
+from .frontend import analysis, lint, semantics, syntax, tables
 from .frontend.tokens import tokens
 from .operators import baseline, issues
 from .plans.project import Project
@@ -75,6 +75,10 @@ def report(spark: SparkSession, a: argparse.Namespace, source: DataFrame) -> int
         found = semantics.check_files(source)
     else:
         found = Project(source).all().join(source.select("file_id", F.col("name").alias("file")), "file_id").withColumn("ordinal", F.col("start").cast("bigint"))
+        own = analysis.analyze_files(source)
+        found = own.unionByName(found.select(*own.columns))
+    if a.only and a.command != "lint":
+        found = found.where(F.col("code").isin(a.only))
     found = placed(found, source)
     if a.retain_code:
         found = issues.with_codes(found, a.retain_code)

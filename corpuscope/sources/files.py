@@ -23,13 +23,16 @@ def scan(spark: SparkSession, root: str, paths: list[str], extensions: list[str]
     """Reads the files below ``root`` that ``paths`` name.
 
     A folder gives its files of these extensions, a pattern what it matches,
-    and a file named in full is read whatever its extension.
+    and a file named in full is read whatever its extension.  Names are chosen
+    first; only chosen files are read.
     """
     base = root.rstrip("/")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    name = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^\\Q" + base + "\\E/", "")
-    found = read.load(base).select(name.alias("name"), F.col("content").alias("contents"), F.col("length").alias("size"))
-    return chosen(found, paths, extensions, list(excludes)).select(F.xxhash64("name").alias("file_id"), "name", "contents", "size")
+    name = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^\\Q" + base + "\\E/", "").alias("name")
+    names = chosen(read.load(base).select("path", name), paths, extensions, list(excludes))
+    wanted = [r["path"] for r in names.select("path").collect()]  # Spark's own listing holds as much on the driver
+    found = spark.read.format("binaryFile").option("__globPaths__", "false").load(wanted) if wanted else read.load(base).limit(0)
+    return found.select(name, F.col("content").alias("contents"), F.col("length").alias("size")).select(F.xxhash64("name").alias("file_id"), "name", "contents", "size")
 
 
 def has_extension(name: Column, extensions: list[str]) -> Column:

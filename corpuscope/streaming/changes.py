@@ -37,11 +37,10 @@ def applied(state: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(now.where("op != 'delete'").select("file_id", *columns))
 
 
-def sessions(changes: DataFrame, gap: str = "300 milliseconds", key: str | None = None) -> DataFrame:
-    """Bursts of changes: those with less than ``gap`` between them are one."""
-    keys = [key] if key else []
-    out = changes.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("changes"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    return out.select(*keys, "first", "last", "changes")
+def sessions(changes: DataFrame, gap: str = "300 milliseconds", key: str = "file_id") -> DataFrame:
+    """Bursts of changes of one ``key``: those with less than ``gap`` between them are one."""
+    out = changes.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("changes"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return out.select(key, "first", "last", "changes")
 
 
 def keep_up(changes: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

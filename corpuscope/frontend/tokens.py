@@ -23,7 +23,7 @@ LEX = re.compile(
 |(?P<comment>(?://|\#)(?:(?!\?>)[^\r\n])*|/\*.*?(?:\*/|\Z))
 |(?P<variable>\${NAME})
 |(?P<cast>\([ \t]*(?:int|integer|bool|boolean|float|double|real|string|binary|array|object|unset|void)[ \t]*\))
-|(?P<name>\\?{NAME}(?:\\{NAME})*)
+|(?P<name>(?!b['"]|b<<<[ \t]*["']?[a-z_\x80-\xff])\\?{NAME}(?:\\{NAME})*)
 |(?P<number>0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:[0-9][0-9_]*)?\.[0-9][0-9_]*(?:[eE][+-]?[0-9_]+)?|[0-9][0-9_]*(?:\.(?![.=A-Za-z_])[0-9_]*)?(?:[eE][+-]?[0-9_]+)?)
 |(?P<single>[bB]?'(?:[^'\\]|\\.)*+(?:'|\Z))
 |(?P<double>[bB]?"(?:[^"\\]|\\.)*+(?:"|\Z))

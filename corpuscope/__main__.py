@@ -1,7 +1,7 @@
 """The command line: ``python -m corpuscope COMMAND ...``.
 
 Commands: ``lint``, ``check`` (legality of each file), ``analyze`` (the whole
-project), ``list-files``, ``cst``, ``inspect-baseline``, ``list-rules``.
+project), ``guard``, ``list-files``, ``cst``, ``inspect-baseline``, ``list-rules``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .frontend import analysis, lint, semantics, syntax, tables
 from .frontend.tokens import tokens
-from .operators import baseline, issues
+from .operators import baseline, guard, issues, pragmas
+from .operators.iterate import stored
 from .plans.project import Project
 from .sources import baseline_files, files, sinks
 
@@ -24,7 +25,7 @@ from .sources import baseline_files, files, sinks
 def arguments(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="corpuscope")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("lint", "check", "analyze", "list-files"):
+    for name in ("lint", "check", "analyze", "guard", "list-files"):
         c = sub.add_parser(name)
         c.add_argument("paths", nargs="*", default=["."])
         c.add_argument("--workspace", default=".")
@@ -33,6 +34,9 @@ def arguments(argv: list[str]) -> argparse.Namespace:
         if name != "list-files":
             c.add_argument("--only", action="append")
             c.add_argument("--pedantic", action="store_true")
+            c.add_argument("--pragmas", metavar="TOOL", help="heed comments @TOOL-ignore and @TOOL-expect")
+            if name == "guard":
+                c.add_argument("--config", required=True, help="a JSON file with the guard's rules")
             c.add_argument("--reporting-format", choices=sorted(sinks.FORMATS), default="medium")
             c.add_argument("--minimum-report-level", choices=issues.LEVELS, default="note")
             c.add_argument("--minimum-fail-level", choices=issues.LEVELS, default="error")
@@ -55,17 +59,68 @@ def arguments(argv: list[str]) -> argparse.Namespace:
 
 
 def placed(found: DataFrame, source: DataFrame) -> DataFrame:
-    """Issues with ``line``, ``column`` and ``content`` of their start, and the lines that they span."""
-    lines = files.line_table(source.select("file_id", F.decode("contents", "iso-8859-1").alias("text")), "file_id", "text")
-    keyed = found.withColumn("point", F.monotonically_increasing_id())
-    from .operators.iterate import stored
-
-    keyed = stored(keyed)
+    """Issues with a key ``point``, ``line``, ``column`` and ``content`` of their start, and the lines that they span."""
+    lines = line_texts(source)
+    keyed = stored(found.withColumn("point", F.monotonically_increasing_id()))
     at = files.line_of(lines, keyed.select("file_id", "point", F.col("start").alias("offset")).unionAll(keyed.select("file_id", (-1 - F.col("point")).alias("point"), F.col("stop").alias("offset"))), "file_id")
     begin = at.where("point >= 0").select("point", "line", "column")
     end = at.where("point < 0").select((-1 - F.col("point")).alias("point"), F.col("line").alias("stop_line"))
     text = lines.select("file_id", "line", "content")
-    return keyed.join(begin, "point").join(end, "point").withColumn("start_line", F.col("line")).join(text, ["file_id", "line"], "left").drop("point")
+    return keyed.join(begin, "point").join(end, "point").withColumn("start_line", F.col("line")).join(text, ["file_id", "line"], "left")
+
+
+def line_texts(source: DataFrame) -> DataFrame:
+    """The lines of source files by byte offsets, whatever their encoding; what is no UTF-8 is replaced in ``content``."""
+    lines = files.line_table(source.select("file_id", F.decode("contents", "iso-8859-1").alias("text")), "file_id", "text", one_byte=True)
+    return lines.withColumn("content", F.make_valid_utf8(F.encode("content", "iso-8859-1").cast("string")))
+
+
+#: What pragmas call the issues of each command.
+CATEGORIES = {"lint": "lint", "check": "semantics", "analyze": "analysis", "guard": "guard"}
+
+
+def suppressed(found: DataFrame, source: DataFrame, tool: str, category: str, leftovers: bool) -> DataFrame:
+    """Issues that no pragma of ``tool`` takes away and, with ``leftovers``, one for each pragma without use."""
+    texts = source.select("file_id", F.decode("contents", "iso-8859-1").alias("text"))
+    marks = stored(pragmas.suppress(texts, found.select("file_id", F.lit(category).alias("category"), "code", "line", F.col("point").alias("ordinal")), tool, (category,)))
+    kept = found.join(marks.where("ordinal >= 0").select(F.col("ordinal").alias("point")), "point", "left_semi")
+    if not leftovers:
+        return kept
+    unused = F.col("code") == "unused-pragma"
+    rest = marks.where("ordinal < 0").join(line_texts(source), ["file_id", "line"]).join(source.select("file_id", F.col("name").alias("file")), "file_id")
+    rest = rest.select(
+        "file_id", "file", "code", F.when(unused, 0).otherwise(2).alias("level"), F.when(unused, "No issue is ignored here.").otherwise("What is expected here is not found.").alias("message"),
+        F.col("start").cast("int").alias("start"), (F.col("start") + F.octet_length("content")).cast("int").alias("stop"), "ordinal", F.lit(None).cast("bigint").alias("point"),
+        "line", F.lit(0).cast("bigint").alias("column"), F.col("line").alias("start_line"), F.col("line").alias("stop_line"), "content",
+    )
+    return kept.select(*rest.columns).unionByName(rest)
+
+
+def guarded(source: DataFrame, config: str) -> DataFrame:
+    """Issues of the architecture guard that a JSON text configures.
+
+    Its keys are ``rules`` (``namespace``, ``permit``), ``layers`` (pairs of a
+    name and a namespace), ``restrictions`` (``target``, ``allow_from``,
+    ``deny_from``) and ``shapes`` (the fields of ``guard.Shape``).
+    """
+
+    def frozen(x):
+        return tuple(map(frozen, x)) if isinstance(x, list) else x
+
+    def made(kind, rows):
+        return tuple(kind(**{k: frozen(v) for k, v in r.items()}) for r in rows)
+
+    c = json.loads(config)
+    rules = guard.Guard(made(guard.Rule, c.get("rules", ())), frozen(list(c.get("layers", ()))), made(guard.Restriction, c.get("restrictions", ())))
+    refs = tables.reference_table(source).where("vector != 'use'")
+    message = F.concat("source", F.lit(" depends on "), "target", F.lit("."))
+    found = guard.perimeter(refs, rules).select("file_id", F.col("reason").alias("code"), message.alias("message"), "start", "stop")
+    if shapes := list(made(guard.Shape, c.get("shapes", ()))):
+        symbols = tables.symbol_table(source).where("owner is null").withColumns({f"is_{f}": F.array_contains("flags", f) for f in ("final", "abstract", "readonly")})
+        flaws = guard.structural(symbols, shapes, carry=("file_id", "start", "stop"))
+        found = found.unionByName(flaws.select("file_id", F.col("flaw").alias("code"), F.concat("name", F.lit(" breaks "), "flaw", F.lit(".")).alias("message"), "start", "stop"))
+    named = found.join(source.select("file_id", F.col("name").alias("file")), "file_id")
+    return named.select("file_id", "file", "code", F.lit(3).alias("level"), "message", "start", "stop", F.col("start").cast("bigint").alias("ordinal"))
 
 
 def report(spark: SparkSession, a: argparse.Namespace, source: DataFrame) -> int:
@@ -73,6 +128,8 @@ def report(spark: SparkSession, a: argparse.Namespace, source: DataFrame) -> int
         found = lint.lint_files(source, set(a.only) if a.only else None, a.pedantic)
     elif a.command == "check":
         found = semantics.check_files(source)
+    elif a.command == "guard":
+        found = guarded(source, Path(a.config).read_text())
     else:
         found = Project(source).all().join(source.select("file_id", F.col("name").alias("file")), "file_id").withColumn("ordinal", F.col("start").cast("bigint"))
         own = analysis.analyze_files(source)
@@ -80,6 +137,9 @@ def report(spark: SparkSession, a: argparse.Namespace, source: DataFrame) -> int
     if a.only and a.command != "lint":
         found = found.where(F.col("code").isin(a.only))
     found = placed(found, source)
+    if a.pragmas:
+        found = suppressed(found, source, a.pragmas, CATEGORIES[a.command], leftovers=not a.only)
+    found = found.drop("point")
     if a.retain_code:
         found = issues.with_codes(found, a.retain_code)
     path = Path(a.baseline) if a.baseline else None

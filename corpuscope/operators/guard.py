@@ -108,8 +108,8 @@ class Shape:
     must_use_trait: tuple[tuple[str, ...], ...] = ()
 
 
-def structural(symbols: DataFrame, shapes: list[Shape], separator: str = "\\") -> DataFrame:
-    """A row for each flaw of a symbol (``name``, ``kind``, flags, ``extends``, ``implements``, ``uses``)."""
+def structural(symbols: DataFrame, shapes: list[Shape], separator: str = "\\", carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each flaw of a symbol (``name``, ``kind``, flags, ``extends``, ``implements``, ``uses``), with its columns ``carry``."""
     flaws = []
     name = F.col("name")
     own = F.element_at(F.split(name, "\\Q" + separator + "\\E"), -1)
@@ -144,4 +144,4 @@ def structural(symbols: DataFrame, shapes: list[Shape], separator: str = "\\") -
             if groups := getattr(s, what):
                 checks.append((what, inherits(groups, parents)))
         flaws += [F.when(on & ~ok, F.struct(F.lit(i).alias("rule"), F.lit(k).alias("flaw"))) for k, ok in checks]
-    return symbols.select("name", "kind", F.explode(F.array_compact(F.array(*flaws))).alias("x")).select("name", "kind", "x.rule", "x.flaw")
+    return symbols.select("name", "kind", *carry, F.explode(F.array_compact(F.array(*flaws))).alias("x")).select("name", "kind", *carry, "x.rule", "x.flaw")

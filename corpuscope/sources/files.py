@@ -111,17 +111,19 @@ def substituted(files: DataFrame, other: DataFrame) -> DataFrame:
     return files.join(other.select("name", F.col("contents").alias("new")), "name", "left").withColumn("contents", F.coalesce("new", "contents")).drop("new")
 
 
-def line_table(texts: DataFrame, key: str, text: str) -> DataFrame:
+def line_table(texts: DataFrame, key: str, text: str, one_byte: bool = False) -> DataFrame:
     """``key``, ``line`` (from 0), ``start`` (byte offset) and ``content`` of each line.
 
     The first line end settles the kind: a bare carriage return splits at
-    carriage returns, anything else at line feeds.
+    carriage returns, anything else at line feeds.  With ``one_byte`` each
+    character of the text stands for one byte.
     """
+    size = F.length if one_byte else F.octet_length
     t = F.coalesce(F.col(text), F.lit(""))
     bare = F.regexp_extract(t, "^[^\\r\\n]*(\\r\\n|\\r|\\n)", 1) == "\r"
     parts = F.when(bare, F.split(t, "\\r", -1)).otherwise(F.split(t, "\\n", -1))
     cut = texts.select(F.col(key), parts.alias("parts"))
-    return cut.select(key, F.posexplode(F.arrays_zip(starts(F.transform("parts", lambda x: F.octet_length(x).cast("bigint") + 1)).alias("start"), F.col("parts")))).select(key, F.col("pos").alias("line"), F.col("col.start").alias("start"), F.col("col.parts").alias("content"))
+    return cut.select(key, F.posexplode(F.arrays_zip(starts(F.transform("parts", lambda x: size(x).cast("bigint") + 1)).alias("start"), F.col("parts")))).select(key, F.col("pos").alias("line"), F.col("col.start").alias("start"), F.col("col.parts").alias("content"))
 
 
 def line_of(lines: DataFrame, points: DataFrame, key: str) -> DataFrame:

@@ -31,3 +31,27 @@ def test_commands(spark, tmp_path, capsys):
     assert json.loads(run("cst", str(tmp_path / "src/a.php"))[1])[0]["kind"] == "program"
     assert json.loads(run("cst", str(tmp_path / "src/a.php"), "--tokens")[1])[0]["kind"] == "open"
     assert len(json.loads(run("list-rules", "--json")[1])) > 180
+
+
+def test_lines_are_those_of_the_bytes(spark, tmp_path, capsys):
+    (tmp_path / "a.php").write_bytes("<?php\n// éééééééééé\n// ü\neval('1');\n".encode() + b"// \xff\n")
+    assert main(["lint", "--workspace", str(tmp_path), "--only", "no-eval", "--reporting-format", "emacs"], spark) == 1
+    assert capsys.readouterr().out.splitlines() == ["a.php:4:1:error - Code is not made from text."]
+
+
+def test_pragmas_are_heeded(spark, tmp_path, capsys):
+    (tmp_path / "a.php").write_text("<?php\ndeclare(strict_types=1);\n// é\n// @tool-ignore lint:no-eval\neval('1');\neval('2');\ng(); // @tool-ignore lint:no-goto\n")
+    here = ("--workspace", str(tmp_path), "--reporting-format", "emacs", "--pragmas", "tool")
+    assert main(["lint", *here, "--only", "no-eval"], spark) == 1
+    assert [line.split(":")[1] for line in capsys.readouterr().out.splitlines()] == ["6"]
+    main(["lint", *here, "--retain-code", "unused-pragma"], spark)
+    assert [line.split(":")[1] for line in capsys.readouterr().out.splitlines()] == ["7"]
+
+
+def test_guard(spark, tmp_path, capsys):
+    (tmp_path / "a.php").write_text("<?php\nnamespace App\\Ui;\nuse App\\Db\\Row;\nclass Page {\n  function f() { new Row(); new \\App\\Core\\Item(); }\n}\n")
+    config = tmp_path / "guard.json"
+    config.write_text(json.dumps({"rules": [{"namespace": "App\\Ui", "permit": ["@self", "App\\Core"]}], "shapes": [{"on": "App\\Ui\\**", "kinds": ["class"], "must_be_final": True}]}))
+    assert main(["guard", "--workspace", str(tmp_path), "--config", str(config), "--reporting-format", "emacs"], spark) == 1
+    got = sorted(line.split(":", 2)[1:] for line in capsys.readouterr().out.splitlines())
+    assert [line for line, _ in got] == ["4", "5"] and "must_be_final" in got[0][1] and "App\\Db\\Row" in got[1][1]

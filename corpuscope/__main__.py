@@ -35,6 +35,8 @@ def arguments(argv: list[str]) -> argparse.Namespace:
             c.add_argument("--only", action="append")
             c.add_argument("--pedantic", action="store_true")
             c.add_argument("--pragmas", metavar="TOOL", help="heed comments @TOOL-ignore and @TOOL-expect")
+            if name == "analyze":
+                c.add_argument("--include", action="append", help="what of the workspace is known and not reported on, as stubs and libraries are")
             if name == "guard":
                 c.add_argument("--config", required=True, help="a JSON file with the guard's rules")
             c.add_argument("--reporting-format", choices=sorted(sinks.FORMATS), default="medium")
@@ -131,7 +133,9 @@ def report(spark: SparkSession, a: argparse.Namespace, source: DataFrame) -> int
     elif a.command == "guard":
         found = guarded(source, Path(a.config).read_text())
     else:
-        found = Project(source).all().join(source.select("file_id", F.col("name").alias("file")), "file_id").withColumn("ordinal", F.col("start").cast("bigint"))
+        context = files.scan(spark, str(Path(a.workspace).resolve()), a.include, a.extension or ["php"]) if a.include else source.limit(0)
+        known = context.join(source.select("file_id"), "file_id", "left_anti")
+        found = Project(source.unionByName(known.select(*source.columns))).all().join(source.select("file_id", F.col("name").alias("file")), "file_id").withColumn("ordinal", F.col("start").cast("bigint"))
         own = analysis.analyze_files(source)
         found = own.unionByName(found.select(*own.columns))
     if a.only and a.command != "lint":

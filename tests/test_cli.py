@@ -23,6 +23,9 @@ def test_commands(spark, tmp_path, capsys):
     assert code == 1 and json.loads(out)["issues"][0]["line"] == 2
     code, out = run("analyze", "src", *here, "--reporting-format", "short")
     assert code == 1 and "non-existent-class-like" in out
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib/gone.php").write_text("<?php\nclass Gone extends Unknown {}\n")
+    assert "non-existent-class-like" not in run("analyze", "src", *here, "--include", "lib", "--reporting-format", "short")[1]
     for loose in ((), ("--loose",)):
         base = str(tmp_path / f"base{len(loose)}.toml")
         assert run("lint", "src", *here, "--baseline", base, "--generate-baseline", *loose)[0] == 0

@@ -40,6 +40,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
             if name == "guard":
                 c.add_argument("--config", required=True, help="a JSON file with the guard's rules")
             c.add_argument("--reporting-format", choices=sorted(sinks.FORMATS), default="medium")
+            c.add_argument("--output", help="a folder for the report's rows, written in parallel, in place of the terminal")
             c.add_argument("--minimum-report-level", choices=issues.LEVELS, default="note")
             c.add_argument("--minimum-fail-level", choices=issues.LEVELS, default="error")
             c.add_argument("--retain-code", action="append")
@@ -159,7 +160,10 @@ def report(spark: SparkSession, a: argparse.Namespace, source: DataFrame) -> int
         found = (baseline.loose_filter if variant == "loose" else baseline.strict_filter)(found, entries)
     found = issues.at_least(found, issues.LEVELS.index(a.minimum_report_level)).cache()
     ordered = found if a.reporting_format in ("count", "code_count", "checkstyle") else issues.in_order(found)
-    print(sinks.whole(ordered, a.reporting_format))
+    if a.output:
+        sinks.write(ordered, a.reporting_format, Path(a.output).resolve().as_uri())
+    else:
+        print(sinks.whole(ordered, a.reporting_format))
     return int(issues.fails(found, issues.LEVELS.index(a.minimum_fail_level)))
 
 

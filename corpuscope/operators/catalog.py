@@ -46,6 +46,16 @@ def descendants(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("ancestor").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count("*").alias("total"))
 
 
+def topological(pairs: DataFrame) -> DataFrame:
+    """A place for each name by which ancestors come before their descendants: how many ancestors it has.
+
+    A descendant has its ancestors' ancestors and them besides; names of one
+    cycle have the same place.  Names without ancestors have place 0.
+    """
+    places = pairs.select(F.col("descendant").alias("name"), F.lit(1).alias("n")).unionAll(pairs.select("ancestor", F.lit(0)).distinct())
+    return places.groupBy("name").agg(F.sum("n").alias("place"))
+
+
 def nearest_members(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each class and member name the nearest declaration: the class's own or that of its closest ancestor."""
     own = members.select(F.col("owner").alias("class"), "member", F.col("owner").alias("declared_by"), F.lit(0).alias("depth"))

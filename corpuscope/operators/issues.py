@@ -7,9 +7,10 @@ span, null without one), ``ordinal``.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,15 @@ class Ignore:
     text: str | None = None
 
 
+def compiles(pattern: str) -> bool:
+    """Whether the engine that runs ``rlike`` takes the pattern."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def ignored(entries: list[Ignore], path: Column, texts: list[Column]) -> Column:
     """Whether some entry drops the issue.  Entries with a pattern that does not compile are passed over."""
     out = F.lit(False)
@@ -55,9 +65,7 @@ def ignored(entries: list[Ignore], path: Column, texts: list[Column]) -> Column:
         if e.code is not None:
             hit = hit & (F.coalesce(F.col("code"), F.lit("")) == e.code)
         if e.text is not None:
-            try:
-                re.compile(e.text)
-            except re.error:
+            if not compiles(e.text):
                 continue
             any_text = F.lit(False)
             for t in texts:
@@ -73,7 +81,10 @@ def ignored(entries: list[Ignore], path: Column, texts: list[Column]) -> Column:
 
 
 def without_ignored(issues: DataFrame, entries: list[Ignore], path: str = "file") -> DataFrame:
-    return issues.where(~ignored(entries, F.col(path), [F.col("message")]))
+    """Issues that no entry drops.  Patterns see the message and, where there are such columns, ``help`` and each of ``notes`` and ``annotations``."""
+    texts = [F.col(c) for c in ("message", "help") if c in issues.columns]
+    texts += [F.array_join(F.col(c), "\n") for c in ("notes", "annotations") if c in issues.columns]
+    return issues.where(~ignored(entries, F.col(path), texts))
 
 
 def in_order(issues: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import baseline, catalog, edits, guard, issues, metrics, references
+from ..operators import baseline, catalog, edits, guard, issues, lookups, metrics, references
 from ..sources import files, sinks
 from ..streaming import changes
 from . import bindings as b
@@ -335,7 +335,16 @@ def invalidation_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.cascade(changed, b.refs(spark, sf_dir), most=None)
 
 
-@query(None)
+DEAD = """d{next} AS (SELECT owner, member FROM can WHERE (owner, member) NOT IN
+ (SELECT (owner, member) FROM used WHERE (src_owner, src_member) NOT IN (SELECT (owner, member) FROM d{last}) OR src_owner <> owner))"""
+#: An order has at most seven line numbers, so no chain of references takes more steps.
+STEPS = ", ".join(DEAD.format(next=n + 1, last=n) for n in range(8))
+
+
+@query(f"""WITH li AS (SELECT DISTINCT 'c' || (l_partkey % 50) AS owner, l_orderkey || '_' || l_linenumber AS member, l_orderkey, l_linenumber FROM lineitem),
+used AS (SELECT DISTINCT a.owner, a.member, b.owner AS src_owner, b.member AS src_member FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1),
+can AS (SELECT DISTINCT owner, member FROM li WHERE length(member) % 2 = 0),
+d0 AS (SELECT owner, member FROM can WHERE (owner, member) NOT IN (SELECT (owner, member) FROM used)), {STEPS} SELECT owner, member FROM d8""")
 def unused_members_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as members of their part's class; each is referred to by the line that follows it in its order."""
     li = b.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("c"), F.col("l_partkey") % 50).alias("owner"), F.concat_ws("_", "l_orderkey", "l_linenumber").alias("member"), "l_orderkey", "l_linenumber", "l_shipdate").dropDuplicates(["owner", "member"])
@@ -344,6 +353,97 @@ def unused_members_fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.unused_members(li.select("owner", "member", (F.length("member") % 2 == 0).alias("checkable")), refs)
 
 
+# Look-ups.
+
+
+@query(f"WITH RECURSIVE {b.CLASS_EDGES} SELECT descendant AS name, count(DISTINCT ancestor) AS place FROM pairs GROUP BY 1 UNION ALL SELECT DISTINCT ancestor, 0 FROM pairs WHERE ancestor NOT IN (SELECT descendant FROM pairs)")
+def class_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.topological(catalog.closure(b.class_edges(spark, sf_dir)))
+
+
+def symbol_rows(df: DataFrame, name: str, kind: str, owner: str = "CAST(NULL AS STRING)", file_id: str = "CAST(0 AS BIGINT)") -> DataFrame:
+    """Rows as the front end's symbols, from SQL expressions."""
+    return df.select(F.expr(name).alias("name"), F.expr(kind).alias("kind"), F.expr(owner).alias("owner"), F.array().cast("array<string>").alias("flags"), F.expr(file_id).alias("file_id"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(p_size % 3 < 2, false) AS \"exists\" FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
+def lookup_class_like_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = symbol_rows(b.table(spark, sf_dir, "part"), "concat('Parts\\\\P', p_partkey)", "element_at(array('class', 'interface', 'function'), CAST(p_size % 3 + 1 AS INT))")
+    asked = b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("\\PARTS\\p"), "l_partkey").alias("name"))
+    return lookups.Catalog(found, b.class_edges(spark, sf_dir).limit(0)).class_like_exists(asked).select("l_orderkey", "l_linenumber", "exists")
+
+
+@query("SELECT c_custkey, c_custkey % 3 < 2 AS \"exists\" FROM customer")
+def lookup_namespace_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = b.table(spark, sf_dir, "customer")
+    asked = c.selectExpr("c_custkey", "CASE c_custkey % 3 WHEN 0 THEN concat('SHOP\\\\', lower(c_mktsegment)) WHEN 1 THEN '\\\\Shop' ELSE concat('Shop\\\\', c_mktsegment, '\\\\C', c_custkey) END AS name")
+    found = symbol_rows(c, "concat('Shop\\\\', c_mktsegment, '\\\\C', c_custkey)", "'class'")
+    return lookups.Catalog(found, b.class_edges(spark, sf_dir).limit(0)).namespace_exists(asked).select("c_custkey", "exists")
+
+
+@query("""WITH f AS (SELECT p_partkey, 'lib\\f' || p_partkey AS full_name, 0 AS rank FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'f' || p_partkey, 1 FROM part WHERE p_size % 3 = 0),
+asked AS (SELECT DISTINCT l_partkey FROM lineitem) SELECT 'Lib\\F' || l_partkey AS name, arg_min(full_name, rank) AS full_name, l_partkey AS file_id FROM asked JOIN f ON p_partkey = l_partkey GROUP BY l_partkey""")
+def lookup_function_or_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = b.table(spark, sf_dir, "part")
+    found = symbol_rows(part.where("p_size % 2 = 0"), "concat('lib\\\\f', p_partkey)", "'function'", file_id="p_partkey").unionAll(symbol_rows(part.where("p_size % 3 = 0"), "concat('f', p_partkey)", "'function'", file_id="p_partkey"))
+    asked = b.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("Lib\\F"), "l_partkey").alias("name")).distinct()
+    return lookups.Catalog(found, b.class_edges(spark, sf_dir).limit(0)).get_function(asked).select("name", "full_name", "file_id")
+
+
+@query(f"""WITH RECURSIVE {b.CLASS_EDGES}, p AS (SELECT DISTINCT descendant, ancestor FROM pairs) SELECT c_custkey, ancestor IS NOT NULL AS is_instance FROM customer LEFT JOIN p ON descendant = 'c' || c_custkey AND ancestor = 'r' || (c_custkey % 5)""")
+def lookup_is_instance_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = b.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("C"), "c_custkey").alias("name"), F.concat(F.lit("R"), F.col("c_custkey") % 5).alias("other"))
+    pairs = catalog.closure(b.class_edges(spark, sf_dir))
+    return lookups.Catalog(symbol_rows(asked, "name", "'class'"), pairs).is_instance_of(asked).select("c_custkey", "is_instance")
+
+
+@query(f"""WITH RECURSIVE {b.CLASS_EDGES}, {MEMBERS} SELECT DISTINCT m.owner, m.member FROM members m JOIN pairs p ON p.descendant = m.owner JOIN members o ON o.owner = p.ancestor AND o.member = m.member""")
+def lookup_overriding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    methods = symbol_rows(members(spark, sf_dir), "member", "'method'", "owner")
+    return lookups.Catalog(methods, catalog.closure(b.class_edges(spark, sf_dir))).overriding()
+
+
+@query(f"WITH {b.REFS} SELECT DISTINCT * FROM refs")
+def refs_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = b.refs(spark, sf_dir)
+    return lookups.extend(r.where("in_signature"), r)
+
+
+@query(f"WITH {b.REFS} SELECT * FROM refs WHERE src NOT IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 0)")
+def refs_without_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.without_invalid(b.refs(spark, sf_dir), b.table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), "s_suppkey").alias("src")))
+
+
+@query(f"WITH {b.REFS} SELECT * FROM refs WHERE in_signature OR src NOT IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 0)")
+def refs_without_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.without_bodies(b.refs(spark, sf_dir), b.table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("s"), "s_suppkey").alias("src"))).select("src", "dst", "in_signature")
+
+
+@query(f"WITH {b.REFS} SELECT * FROM refs WHERE in_signature UNION SELECT * FROM refs WHERE NOT in_signature AND src IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal >= 0)")
+def refs_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = b.refs(spark, sf_dir)
+    safe = b.table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.concat(F.lit("s"), "s_suppkey").alias("src"))
+    return lookups.restored(r.where("in_signature"), r.where("not in_signature"), safe)
+
+
+USES = "uses AS (SELECT 's' || l_suppkey AS src, l_linestatus AS src_member, 'p' || l_partkey AS dst, 'm' || (l_linenumber % 3) AS dst_member, CASE l_returnflag WHEN 'R' THEN 'write' WHEN 'A' THEN 'read' ELSE 'call' END AS kind FROM lineitem)"
+
+
+def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "R", "write").when(F.col("l_returnflag") == "A", "read").otherwise("call")
+    return b.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.col("l_linestatus").alias("src_member"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.concat(F.lit("m"), F.col("l_linenumber") % 3).alias("dst_member"), kind.alias("kind"))
+
+
+@query(f"WITH {USES} SELECT dst, dst_member, count(*) FILTER (WHERE kind = 'read') AS reads, count(*) FILTER (WHERE kind = 'write') AS writes, count(DISTINCT (src, src_member)) AS sources FROM uses GROUP BY dst, dst_member")
+def member_reads_and_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.reads_and_writes(uses(spark, sf_dir))
+
+
+@query(f"WITH {USES} SELECT dst, dst_member FROM uses GROUP BY dst, dst_member HAVING bool_or(kind = 'write') AND NOT bool_or(kind = 'read')")
+def member_write_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.write_only(uses(spark, sf_dir))
+
+
 # The guard.
 
 EDGES = "edges AS (SELECT c_custkey, 'Shop\\Seg_' || c_mktsegment || '\\Order' AS source, 'Nation\\R' || n_regionkey || '\\N' || n_nationkey AS target FROM customer JOIN nation ON c_nationkey = n_nationkey)"

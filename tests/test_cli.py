@@ -19,6 +19,8 @@ def test_commands(spark, tmp_path, capsys):
     code, out = run("lint", "src", *here, "--only", "no-eval", "--only", "no-debug-symbols", "--reporting-format", "emacs")
     assert code == 1 and out.splitlines() == ["src/a.php:4:1:note - var_dump is for debugging.", "src/a.php:3:6:error - Code is not made from text."]
     assert run("lint", "src", *here, "--only", "no-debug-symbols", "--minimum-report-level", "help")[0] == 0
+    assert run("lint", "src", *here, "--only", "no-eval", "--reporting-format", "emacs", "--output", str(tmp_path / "out")) == (1, "")
+    assert spark.read.text((tmp_path / "out").as_uri()).first()[0] == "src/a.php:3:6:error - Code is not made from text."
     code, out = run("check", "src", *here, "--reporting-format", "json")
     assert code == 1 and json.loads(out)["issues"][0]["line"] == 2
     code, out = run("analyze", "src", *here, "--reporting-format", "short")

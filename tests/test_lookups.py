@@ -96,3 +96,16 @@ def test_extensions(spark):
     calls = spark.createDataFrame([("trim", ["string"]), ("TRIM", ["int"]), ("other", [])], "target string, arguments array<string>")
     assert sorted((x["target"], x["provided"]) for x in r.provided(calls, "return").collect()) == [("TRIM", "mixed"), ("other", None), ("trim", "string")]
     assert [tuple(x) for x in r.reduced(files, "kinds", width=3).collect()] == [("class", 0, "80"), ("function", 0, "80")]
+
+
+def test_ignore_entries_see_all_texts_and_skip_broken_patterns(spark):
+    from corpuscope.operators import issues
+
+    rows = [(1, "a", "plain", "try this", ["one", "two"]), (2, "a", "plain", None, ["one", "other"]), (3, None, "gone", None, None)]
+    df = spark.createDataFrame(rows, "n int, code string, message string, help string, notes array<string>").withColumn("file", F.lit("f"))
+
+    def left(*texts):
+        return {r["n"] for r in issues.without_ignored(df, [issues.Ignore(text=t) for t in texts]).collect()}
+
+    assert left("try") == {2, 3} and left("^two$|(?m)^two$") == {2, 3} and left("other", "gone") == {1}
+    assert left("(?P<x>plain)", "(broken") == {1, 2, 3}

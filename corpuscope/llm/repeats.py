@@ -42,6 +42,8 @@ from . import common
 
 #: Windows whose hashes are held at once.
 BLOCK = 1 << 18
+#: Bytes of a text whose words are hashed at once; each takes some 50 bytes meanwhile.
+PIECE = 1 << 18
 #: Bytes of stretches in a shard, on average.
 SHARD = 1 << 20
 #: Bytes of stretches of one key from which its windows are counted by digest.
@@ -89,11 +91,25 @@ class Text:
         if not self.unit.words:
             return self.codes[a:b].astype(np.uint64) + np.uint64(1)
         starts, ends = self.starts[a:b], self.ends[a:b]
-        lo = starts[0]
-        part = self.codes[lo : ends[-1]].astype(np.uint64) + np.uint64(1)
-        part[SPACE[self.codes[lo : ends[-1]]]] = 0
-        place = np.arange(len(part)) - np.repeat(starts - lo, np.diff(np.append(starts, ends[-1])))
-        return mix(np.add.reduceat(part * POWERS[place % len(POWERS)], starts - lo))
+        lo, hi = int(starts[0]), int(ends[-1])
+        if hi - lo <= PIECE:
+            return mix(self.sums(starts, starts, hi))
+        starts, ends = np.ascontiguousarray(starts), np.ascontiguousarray(ends)
+        out = np.zeros(b - a, np.uint64)
+        for at in range(lo, hi, PIECE):
+            to = min(hi, at + PIECE)
+            i, j = np.searchsorted(ends, at, "right"), np.searchsorted(starts, to, "left")
+            if i < j:
+                out[i:j] += self.sums(starts[i:j], np.maximum(starts[i:j], at), to)
+        return mix(out)
+
+    def sums(self, starts: np.ndarray, since: np.ndarray, to: int) -> np.ndarray:
+        """What the bytes before ``to``, of each word those from ``since`` on, add to the numbers of the words at ``starts``."""
+        lo = since[0]
+        part = self.codes[lo:to].astype(np.uint64) + np.uint64(1)
+        part[SPACE[self.codes[lo:to]]] = 0
+        place = np.arange(lo, to) - np.repeat(starts, np.diff(np.append(since, to)))
+        return np.add.reduceat(part * POWERS[place % len(POWERS)], since - lo)
 
     def part(self, a: int, b: int) -> bytes:
         """Units ``a`` to ``b``; words are joined by one space."""

@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -48,6 +49,33 @@ def test_window_keys_follow_content():
         assert all(len(k) == 1 for k in seen.values())
 
 
+def test_word_numbers_do_not_depend_on_pieces(monkeypatch):
+    r = random.Random(4)
+    for _ in range(100):
+        words = ["".join(r.choices("abé", k=r.choice([1, 2, 5, 40]))) for _ in range(r.randint(1, 30))]
+        text = repeats.Text("".join(r.choice(["", " ", " \n" * 9]) + " " + w for w in words) + r.choice(["", " ", "\t" * 20]), repeats.Unit(True, 3, 2))
+        a = r.randrange(len(words))
+        b = r.randint(a + 1, len(words))
+        whole = text.values(a, b)
+        alone = [repeats.Text(w, text.unit).values(0, 1)[0] for w in words[a:b]]
+        for piece in (1, 2, 7, 64):
+            monkeypatch.setattr(repeats, "PIECE", piece)
+            assert (text.values(a, b) == whole).all()
+        monkeypatch.undo()
+        assert whole.tolist() == alone
+
+
+@pytest.mark.parametrize("words", [["x" * 4_000_000], [f"{i:040d}" for i in range(100_000)]])
+def test_keys_of_long_words_take_bounded_memory(words):
+    text = repeats.Text(" ".join([*map(str, range(50)), *words, *map(str, range(50))]), repeats.Unit(True, 35, 8))
+    tracemalloc.start()
+    for _ in repeats.keys_of(text):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+
+
 @pytest.mark.parametrize("unit", [repeats.Unit(False, 20, 5), repeats.Unit(True, 6, 2)])
 def test_blocks_hold_each_window_once_and_follow_content(unit):
     r = random.Random(7)
